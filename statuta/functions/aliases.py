@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import _fold, quote
+from .text import _fold, literal_map, quote
 
 
 def _canonical(text: str) -> str:
@@ -37,11 +37,11 @@ REGULATION_PATTERN = alternation(list(V.REGULATION_ALIASES))
 
 
 def law_of(alias: Column) -> Column:
-    return F.create_map(*[F.lit(x) for a, (_, law) in ALIASES.items() for x in (a, law)])[alias]
+    return literal_map({a: law for a, (_, law) in ALIASES.items()})[alias]
 
 
 def rank_of(alias: Column) -> Column:
-    return F.create_map(*[F.lit(x) for a, (rank, _) in ALIASES.items() for x in (a, rank)])[alias]
+    return literal_map({a: rank for a, (rank, _) in ALIASES.items()})[alias]
 
 
 def _longest(text: Column, pattern: str, rank: Column | None = None) -> Column:
@@ -62,12 +62,10 @@ def detect_regulation(text: Column) -> Column:
 
 
 def regulation_of(alias: Column) -> Column:
-    pairs = []
-    for name, code in V.REGULATION_ALIASES.items():
-        law, regulation = V.REGULATIONS[code]
-        pairs += [F.lit(name), F.struct(F.lit(law).alias("law_no"),
-                                        F.lit(regulation).alias("regulation_name"))]
-    return F.create_map(*pairs)[alias]
+    code = literal_map(V.REGULATION_ALIASES)[alias]
+    law = literal_map({c: law for c, (law, _) in V.REGULATIONS.items()})
+    name = literal_map({c: name for c, (_, name) in V.REGULATIONS.items()})
+    return F.when(code.isNotNull(), F.struct(law[code].alias("law_no"), name[code].alias("regulation_name")))
 
 
 def names_a_law(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 from .aliases import ALIASES
 from .questions import contains_phrase, requested_paragraph, technical_term
-from .text import canon, has_any, let, strip, strip_title
+from .text import canon, has_any, let, literal_map, strip, strip_title
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -219,9 +219,8 @@ def law_alias_list(law_no: Column) -> Column:
     by_law: dict[str, list[str]] = {}
     for alias, (_, law) in ALIASES.items():
         by_law.setdefault(law, []).append(alias)
-    table = F.create_map(*[x for law, names in by_law.items()
-                           for x in (F.lit(law), F.array(*[F.lit(n) for n in names]))])
-    return F.coalesce(table[law_no], F.array().cast("array<string>"))
+    joined = literal_map({law: "|".join(names) for law, names in by_law.items()})[law_no]
+    return F.coalesce(F.split(joined, r"\|"), F.array().cast("array<string>"))
 
 
 def cites_article(answer: Column, name: Column, law_no: Column, article_type: Column,

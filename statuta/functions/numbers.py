@@ -13,16 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import canon, let, strip
+from .text import canon, let, literal_map, strip
 from .aliases import SHORT_ALIAS_PATTERN, detect_law
 
 FENCE, GAP = "\u0001", "\u0002"
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
 def rewrite_matches(c: Column, pattern: str, template: str, rewrite: Callable[[Column], Column]) -> Column:
     """Replace each match; ``rewrite`` gets the match laid out by ``template``."""
     # Splitting puts the matches at the odd positions.
@@ -37,7 +33,7 @@ def cardinal_value(c: Column) -> Column:
 
 
 def _cardinal_of(words: Column) -> Column:
-    values = _literal_map(V.CARDINALS)
+    values = literal_map(V.CARDINALS)
     state = lambda total, current, known: F.struct(
         total.cast("bigint").alias("total"), current.cast("bigint").alias("current"),
         known.alias("known"))
@@ -70,7 +66,7 @@ def ordinal_value(c: Column) -> Column:
 
     def value(words: Column) -> Column:
         lead = _cardinal_of(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-        base = _literal_map(V.ORDINALS)[F.element_at(words, -1)].cast("bigint")
+        base = literal_map(V.ORDINALS)[F.element_at(words, -1)].cast("bigint")
         return let(base, lambda b: F.when(F.size(words) == 1, b).otherwise(
             let(lead, lambda n: join(b, n))))
 
@@ -82,19 +78,19 @@ _WORD = r"(?U)\b[^\W\d_]+\b"
 
 def fold_number_words(c: Column) -> Column:
     """Number words in ASCII spelling; other words untouched."""
-    vocabulary = _literal_map({w: w for w in (*V.CARDINALS, *V.ORDINALS)})
+    vocabulary = literal_map({w: w for w in (*V.CARDINALS, *V.ORDINALS)})
     return rewrite_matches(c, _WORD, "$0", lambda p: F.coalesce(vocabulary[canon(p)], p))
 
 
 def split_compact_words(c: Column) -> Column:
     """Run-together number words are split at the word joints."""
-    compact = _literal_map(V.COMPACT_WORDS)
+    compact = literal_map(V.COMPACT_WORDS)
     return rewrite_matches(c, _WORD, "$0", lambda p: F.coalesce(compact[canon(p)], p))
 
 
 def _fold_and_split(c: Column) -> Column:
     # One pass for the two functions above: a compact form wins over its own fold.
-    both = _literal_map({**{w: w for w in (*V.CARDINALS, *V.ORDINALS)}, **V.COMPACT_WORDS})
+    both = literal_map({**{w: w for w in (*V.CARDINALS, *V.ORDINALS)}, **V.COMPACT_WORDS})
     return rewrite_matches(c, _WORD, "$0", lambda p: F.coalesce(both[canon(p)], p))
 
 

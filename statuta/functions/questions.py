@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import canon, has_any, has_word, let, strip
+from .text import canon, has_any, has_word, let, literal_array, strip
 
 _CASE = r"\b(?:19|20)\d{2}\s*/\s*\d+\b"
 
@@ -16,7 +16,7 @@ def _tokens(q: Column) -> Column:
 
 
 def _words(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return literal_array(words)
 
 
 def wants_decisions(question: Column) -> Column:

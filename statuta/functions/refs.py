@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 from .aliases import (NAMED_ALIAS_PATTERN, REGULATION_PATTERN, SHORT_ALIAS_PATTERN, detect_law,
                       law_of, names_a_law, rank_of, regulation_of)
-from .numbers import normalise_question
 from .text import canon, has_any, let
 
 NUMBER = r"\d+(?:/[A-Za-z])?"
@@ -256,8 +255,9 @@ def _intra(kind: str, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"))
 
 
-def parse_intra_refs(question: Column) -> Column:
-    """Paragraph, lettered-item and numbered-item references of a question."""
+def parse_intra_refs(canonical: Column) -> Column:
+    """Paragraph, lettered-item and numbered-item references, from the canonical form of a
+    normalised question."""
     tail = r"fikra(?:[a-z]*)?\b"
     flags = [("fikra", rf"\b{w}\s*{tail}", n) for w, n in zip(_FOUR_WORDS, _FOUR)]
     flags += [("fikra", rf"\b{n}\.\s*fikra\b", n) for n in _FOUR]
@@ -280,7 +280,7 @@ def parse_intra_refs(question: Column) -> Column:
         found = F.concat(paragraphs, *items, counted).cast(INTRA_TYPE)
         return F.filter(found, lambda r: r.isNotNull())
 
-    return let(canon(normalise_question(question)), lambda q: F.when(
+    return let(canonical, lambda q: F.when(
         has_any(q, ["fikra", "bent", "bend"]), parse(q)).otherwise(F.array().cast(INTRA_TYPE)))
 
 

@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +52,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _sql(value: str | int | None) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(values: dict) -> Column:
+    """A constant map, sent to the JVM as one expression."""
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in values.items()) + ")")
+
+
+def literal_array(values: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(_sql(v) for v in values) + ")")
+
+
+_BUILT: dict = {}
+
+
+def built_once(name: str, build: Callable[[], Column]) -> Column:
+    """Reuse a big column expression: building one takes thousands of calls to the JVM.
+
+    Expressions are immutable and refer to columns by name, so one can serve many plans of
+    the same JVM.
+    """
+    key = (name, id(SparkContext._jvm))
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -144,7 +177,7 @@ def article_number_key(c: Column) -> Column:
 
 
 def type_order(c: Column) -> Column:
-    order = F.create_map(*[x for i, t in enumerate(V.ARTICLE_TYPES) for x in (F.lit(t), F.lit(i))])
+    order = literal_map({t: i for i, t in enumerate(V.ARTICLE_TYPES)})
     return F.coalesce(order[c], F.lit(99))
 
 
@@ -203,7 +236,7 @@ def article_label(name: Column, article_type: Column, number: Column) -> Column:
 
 def article_prefix(name: Column, article_type: Column, number: Column) -> Column:
     """Heading every article text starts with; null for an unknown type."""
-    labels = F.create_map(*[F.lit(x) for kv in V.TYPE_LABELS.items() for x in kv])
+    labels = literal_map(V.TYPE_LABELS)
     return F.concat(name, F.lit(" "), labels[article_type], F.lit(" "), number, F.lit(": "))
 
 

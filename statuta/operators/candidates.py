@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.aliases import detect_law
 from ..functions.refs import mentions_previous_article
-from ..functions.text import article_number_key
+from ..functions.text import article_number_key, literal_map
 from .ordered import top_per_key
 
 DEFAULTS = {
@@ -47,7 +47,7 @@ def document_key(source_type: str = "source_type", law_no: str = "law_no", regul
 
 
 def priority(source: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in V.SOURCE_PRIORITY.items() for x in kv])
+    table = literal_map(V.SOURCE_PRIORITY)
     return F.coalesce(table[source], F.lit(V.OTHER_PRIORITY))
 
 
@@ -108,7 +108,7 @@ def rank_score(context: Column, source: Column, similarity: Column, law_no: Colu
     near = None
     for within, bonus in V.DISTANCE_BONUS:
         near = F.when(distance <= within, bonus) if near is None else near.when(distance <= within, bonus)
-    penalty = F.create_map(*[F.lit(x) for kv in V.SOURCE_PENALTY.items() for x in kv])[source]
+    penalty = literal_map({k: int(v) for k, v in V.SOURCE_PENALTY.items()})[source].cast("double")
     exact = F.array_contains(context["keys"], F.concat_ws("|", law_no, article_type, article_no))
     return (priority(source).cast("double")
             + F.coalesce(similarity, F.lit(0.0)) * V.SIMILARITY_WEIGHT

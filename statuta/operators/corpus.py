@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.refs import cited_articles
 from ..functions.structure import build_structure, chunks
 from ..functions.text import article_number_key, content_hash, strip
-from .ordered import best_per_key, top_per_key
+from .ordered import best_per_key, explode_rows, top_per_key
 
 ARTICLE_KEY = ["law_no", "article_type", "article_no"]
 REGULATION_KEY = ["law_no", "regulation_name", "article_type", "article_no"]
@@ -86,7 +86,7 @@ def with_structure(articles: DataFrame, text: str = "text") -> DataFrame:
 
 def chunk_rows(articles: DataFrame, model: str = "external", dim: int = 64) -> DataFrame:
     """One row per chunk with its index, hash and parent id."""
-    pieces = articles.select("id", *ARTICLE_KEY, F.posexplode(chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
+    pieces = explode_rows(articles.select("id", *ARTICLE_KEY, "text"), chunks(F.col("text")), "chunk_index", "chunk_text")
     return pieces.select(
         F.col("id").alias("article_id"), *ARTICLE_KEY, "chunk_index", "chunk_text",
         content_hash(F.col("chunk_text")).alias("chunk_hash"),
@@ -104,8 +104,8 @@ def load_summary(changes: DataFrame) -> DataFrame:
 def citation_edges(articles: DataFrame, compatible: bool = False) -> DataFrame:
     """Citation graph of the plain articles, one row per distinct edge of an article."""
     bodies = articles.where(F.col("article_type") == "madde")
-    edges = bodies.select(*[F.col(k).alias(f"source_{k}") for k in ARTICLE_KEY], F.posexplode(
-        cited_articles(F.col("text"), F.col("law_no"), compatible)).alias("ord", "edge"))
+    keyed = bodies.select(*[F.col(k).alias(f"source_{k}") for k in ARTICLE_KEY], "text")
+    edges = explode_rows(keyed, cited_articles(F.col("text"), F.col("source_law_no"), compatible), "ord", "edge")
     return edges.select(
         "source_law_no", "source_article_type", "source_article_no",
         F.col("edge.law_no").alias("target_law_no"), F.lit("madde").alias("target_article_type"),

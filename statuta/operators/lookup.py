@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import case_numbers
-from .ordered import top_per_key
+from .ordered import explode_rows, top_per_key
 
 
 def direct_articles(refs: DataFrame, articles: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def substring_matches(patterns: DataFrame, texts: DataFrame, pattern: str, text:
     # At most five rows: the kinds of key in use decide what the texts have to emit.
     kinds = sorted(r[0] for r in keyed.select(F.substring("_key", 1, 2)).distinct().collect())
     emitted = [tag(k, text_keys[k]) for k in kinds] or [F.array().cast("array<string>")]
-    found = held.select("_tid", F.explode(F.concat(*emitted)).alias("_key")).join(
+    found = explode_rows(held, F.concat(*emitted), "_n", "_key").select("_tid", "_key").join(
         keyed, "_key").select("_tid", "_p")
     checked = (found.join(body, "_tid").where(F.contains("_t", "_p")).select("_p", "_tid"))
     return (patterns.select(F.col(pattern_id), lowered.alias("_p")).join(checked, "_p")
@@ -115,7 +115,7 @@ def case_number_search(questions: DataFrame, decisions: DataFrame, count: int,
     Every year/number in a decision gives one key per prefix of its number: a number asked
     for is a substring exactly when one of these keys equals it.
     """
-    asked = questions.select("q_id", F.posexplode(case_numbers(F.col(question))).alias("nth", "number"))
+    asked = explode_rows(questions.select("q_id", question), case_numbers(F.col(question)), "nth", "number").drop(question)
     numbers = F.flatten(F.array(*[F.regexp_extract_all(
         F.coalesce(c, F.lit("")), F.lit(r"(?=((?:19|20)\d{2}/\d+))"), F.lit(1))
                                   for c in ("case_no", "decision_no", "text")]))
@@ -127,7 +127,7 @@ def case_number_search(questions: DataFrame, decisions: DataFrame, count: int,
                            lambda i: F.concat(year, F.lit("/"), F.substring(tail, F.lit(1), i)))
 
     keys = F.array_distinct(F.flatten(F.transform(F.array_distinct(numbers), prefixes)))
-    held = decisions.select("id", F.explode(keys).alias("number"))
+    held = explode_rows(decisions.select("id", "case_no", "decision_no", "text"), keys, "_n", "number").select("id", "number")
     hits = asked.join(held, "number").groupBy("q_id", "id").agg(F.min("nth").alias("nth"))
     best = top_per_key(hits, ["q_id"], [F.col("nth"), F.col("id")], count)
     return best.drop("nth").join(decisions, "id")

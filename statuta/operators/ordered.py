@@ -68,3 +68,13 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int,
     """First ``limit`` rows per key; Spark prunes each partition before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
+
+
+def explode_rows(df: DataFrame, values: Column, position: str, value: str) -> DataFrame:
+    """One row per array element with its position; rows with an empty array drop out.
+
+    The outer form is used on purpose: for the plain one the optimizer adds a test of the
+    array size below, which computes an expensive array expression again.
+    """
+    rows = df.select("*", F.posexplode_outer(values).alias(position, value))
+    return rows.where(F.col(position).isNotNull())

@@ -7,51 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.questions import is_case_number_query, is_generic_decision_query, wants_decisions
-from ..functions.numbers import normalise_question
-from ..functions.refs import (extract_requested, extraction_status, intra_request, last_law_ref,
-                              parse_intra_refs, parse_refs, parse_regulation_refs, resolve_context)
-from ..functions.text import canon, preview
+from ..functions.refs import extract_requested, extraction_status, resolve_context
+from ..functions.text import preview
 from ..operators.candidates import (article_links, expand_cited, expand_previous, merge_candidates,
-                                    rank_candidates, ranking_context, union_candidates)
+                                    rank_candidates, union_candidates)
 from ..operators.lookup import keyword_search, vector_top_k, best_chunk_articles
+from ..operators.ordered import explode_rows
+from ..operators.parsing import last_history_refs, normalised, parse_resolved, per_distinct
 from ..session import cut_lineage
 
 
-def last_history_refs(turns: DataFrame) -> DataFrame:
-    """Last reference with a law per conversation: last turn first, last reference in it.
-
-    An aggregate, not a window, so one long conversation does not fill one task.
-    """
-    refs = turns.select("conv_id", "turn", last_law_ref(parse_refs(canon(F.col("text")))).alias("ref"))
-    return (refs.where(F.col("ref").isNotNull()).groupBy("conv_id")
-            .agg(F.max_by("ref", "turn").alias("last_ref")))
-
-
 def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """Normalised and context-resolved question with its references and flags.
 
     ``questions(q_id, question[, conv_id])``; ``turns(conv_id, turn, text)`` is the history.
     """
     raw = F.col("question")
-    out = questions.withColumn("case_query", is_case_number_query(raw)).withColumn(
-        "generic_query", is_generic_decision_query(raw))
-    gated = F.col("case_query") | F.col("generic_query")
-    out = out.withColumn("normalised", F.when(gated, raw).otherwise(normalise_question(raw)))
+    flagged = per_distinct(questions, "question", lambda d: d
+                           .withColumn("case_query", is_case_number_query(raw))
+                           .withColumn("generic_query", is_generic_decision_query(raw))
+                           .withColumn("gated", F.col("case_query") | F.col("generic_query"))
+                           .withColumn("normalised", F.when(F.col("gated"), raw).otherwise(normalised("question"))))
     if turns is None:
-        out = out.withColumn("resolved", F.col("normalised"))
+        out = flagged.withColumn("resolved", F.col("normalised"))
     else:
-        out = out.join(last_history_refs(turns), "conv_id", "left").withColumn(
-            "resolved", F.when(gated, raw).otherwise(
+        out = flagged.join(last_history_refs(turns), "conv_id", "left").withColumn(
+            "resolved", F.when(F.col("gated"), raw).otherwise(
                 resolve_context(F.col("normalised"), F.col("last_ref")))).drop("last_ref")
-    text = canon(F.col("resolved"))
-    return (out.withColumn("gated", gated).withColumn("canonical", text)
-            .withColumn("refs", F.when(gated, F.array().cast(
-                "array<struct<law_no:string,article_no:string,article_type:string>>")).otherwise(
-                    parse_refs(F.col("canonical"))))
-            .withColumn("regulation_refs", parse_regulation_refs(F.col("canonical")))
-            .withColumn("decision_intent", gated | wants_decisions(F.col("resolved")))
-            .withColumn("ask", intra_request(parse_intra_refs(F.col("resolved"))))
-            .withColumn("context", ranking_context(F.col("canonical"), F.col("refs"))))
+    parsed = per_distinct(out, "resolved", lambda d: parse_resolved(d, "resolved").withColumn(
+        "wants_decisions", wants_decisions(F.col("resolved"))))
+    none = F.array().cast("array<struct<law_no:string,article_no:string,article_type:string>>")
+    return (parsed.withColumn("refs", F.when(F.col("gated"), none).otherwise(F.col("refs")))
+            .withColumn("decision_intent", F.col("gated") | F.col("wants_decisions")))
 
 
 _SLIM = ["q_id", "id", "source_type", "law_no", "law_name", "regulation_name", "article_type", "article_no",
@@ -67,14 +54,13 @@ def _slim(df: DataFrame, **extra: F.Column) -> DataFrame:
 def explicit_candidates(resolved: DataFrame, links: DataFrame) -> DataFrame:
     """Articles the questions name, statutes first, at most ten per question."""
     null_sim = F.lit(None).cast("double")
-    refs = (resolved.where(F.size("refs") > 0)
-            .select("q_id", F.posexplode("refs").alias("ord", "r"))
+    refs = (explode_rows(resolved.select("q_id", "refs"), F.col("refs"), "ord", "r")
             .select("q_id", F.col("ord").cast("bigint").alias("ord"), "r.*").where(F.col("law_no").isNotNull()))
     statutes = links.where(F.col("source_type") == "mevzuat")
     direct = _slim(refs.join(statutes, ["law_no", "article_no", "article_type"]),
                    retrieval_source=F.lit("direct_article_lookup"), similarity=null_sim)
-    asked = (resolved.where(F.size("regulation_refs") > 0)
-             .select("q_id", F.posexplode("regulation_refs").alias("ord", "r"))
+    asked = (explode_rows(resolved.where(~F.col("gated")).select("q_id", "regulation_refs"),
+                          F.col("regulation_refs"), "ord", "r")
              .select("q_id", F.col("ord").cast("bigint").alias("ord"), "r.*"))
     regulations = links.where(F.col("source_type") == "yonetmelik").drop("law_name")
     from_regulation = _slim(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,15 +26,17 @@ def build_session(app: str = "statuta", master: str | None = None, **conf: str)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names; a no-op where none is set.
+    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``.  Reliable checkpoints survive the
-    loss of executors, so a lost task never replays the stages before it.
+    Reliable checkpoints survive the loss of executors, and what follows reads the stored
+    rows instead of computing them again.  Where no folder is named, a local session uses
+    one of its own; on a cluster the plan is left as it is.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="statuta-"))
     return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import decision_info, let, quote, strip
+from ..functions.text import decision_info, let, literal_map, quote, strip
 from .. import schemas
 
 _META = ["law_no", "regulation_name", "source_type"]
@@ -37,7 +37,7 @@ def read_statute_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def law_names(lines: DataFrame) -> DataFrame:
     """``file, law_no, law_name``; an unknown law takes its name from the folder."""
-    known = F.create_map(*[F.lit(x) for kv in V.LAW_NAMES.items() for x in kv])
+    known = literal_map(V.LAW_NAMES)
     rest = F.array_join(F.slice(F.split("folder", "_"), 2, 100), " ")
     return lines.select("file", "folder", "law_no").distinct().select(
         "file", "law_no", F.coalesce(known[F.col("law_no")], rest).alias("law_name"))
