@@ -189,9 +189,7 @@ def best_chunk_articles(hits: DataFrame, chunk_rows: DataFrame, articles: DataFr
     best = placed.groupBy("q_id", "article_id").agg(F.min_by(
         F.struct("similarity", "chunk_index", "chunk_text"),
         F.struct(-F.col("similarity"), F.col("v_id"))).alias("c"))
-    found = best.join(articles, best["article_id"] == articles["id"]).select(
-        "q_id", *[articles[c] for c in articles.columns], F.col("c.similarity").alias("similarity"),
-        F.col("c.chunk_index").alias("chunk_index"), F.col("c.chunk_text").alias("chunk_text"))
+    found = best.withColumnRenamed("article_id", "id").join(articles, "id").select("*", "c.*").drop("c")
     order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), F.asc("id"))
     return (found.withColumn("ord", F.row_number().over(order).cast("bigint"))
             .withColumn("retrieval_source", F.lit("semantic")))

@@ -184,7 +184,7 @@ def number_preview(articles: DataFrame, limit: int = 20) -> DataFrame:
 
 def special_articles(articles: DataFrame, limit: int = 50) -> DataFrame:
     """Additional and provisional articles per type, and repeated ones by suffix."""
-    order = [F.col("law_no"), F.col("article_no")]
+    order = [F.col("law_no"), F.col("article_no"), F.col("article_type")]
     typed = articles.where(F.col("article_type").isin("ek", "gecici", "ek_gecici")).withColumn(
         "listing", F.col("article_type"))
     repeated = articles.where(F.col("article_no").endswith("/A")).withColumn("listing", F.lit("repeated"))
