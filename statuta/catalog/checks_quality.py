@@ -300,12 +300,12 @@ def _(spark, sf):
     return K.random_sample(table(spark, sf, "documents").select("doc_id", "source"), 5)
 
 
-@register("a13_mixed_values", """WITH f AS (SELECT l_orderkey, min_by(l_returnflag, pos) AS fr, min_by(l_linestatus, pos) AS fs FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS pos FROM lineitem) GROUP BY 1)
+@register("a13_mixed_values", """WITH f AS (SELECT l_orderkey, min_by(l_returnflag, pos) AS fr, min_by(l_linestatus, pos) AS fs FROM (SELECT *, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS pos FROM lineitem) GROUP BY 1)
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, concat_ws(',', CASE WHEN l_returnflag <> fr THEN 'l_returnflag' END, CASE WHEN l_linestatus <> fs THEN 'l_linestatus' END) AS mixed
 FROM lineitem l JOIN f ON f.l_orderkey = l.l_orderkey WHERE l_returnflag <> fr OR l_linestatus <> fs""")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus",
-                                               (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"))
+                                               ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("pos"))
     return K.mixed_values(rows, "l_orderkey", ["l_returnflag", "l_linestatus"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", F.array_join("mixed", ",").alias("mixed"))
 

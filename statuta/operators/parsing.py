@@ -19,7 +19,13 @@ from .candidates import ranking_context
 
 
 def normalised(column: str) -> Column:
-    return built_once(f"normalised:{column}", lambda: normalise_question(F.col(column)))
+    """The normalised question, never null.
+
+    Being not nullable matters: a later join on it would otherwise add a null test that the
+    optimizer pushes below the distinct step, where it parses every row.
+    """
+    return built_once(f"normalised:{column}", lambda: F.coalesce(
+        normalise_question(F.col(column)), F.lit("")))
 
 
 def references(canonical: str) -> Column:
@@ -28,7 +34,7 @@ def references(canonical: str) -> Column:
 
 def per_distinct(df: DataFrame, column: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply ``parse`` to the distinct values of a text column and join its columns back."""
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
+    distinct = df.select(column).distinct()
     return df.join(parse(distinct), column, "left")
 
 

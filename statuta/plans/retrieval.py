@@ -27,13 +27,15 @@ def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> D
                            .withColumn("case_query", is_case_number_query(raw))
                            .withColumn("generic_query", is_generic_decision_query(raw))
                            .withColumn("gated", F.col("case_query") | F.col("generic_query"))
-                           .withColumn("normalised", F.when(F.col("gated"), raw).otherwise(normalised("question"))))
+                           .withColumn("normalised", F.when(F.col("gated"), F.coalesce(raw, F.lit(""))).otherwise(normalised("question"))))
     if turns is None:
         out = flagged.withColumn("resolved", F.col("normalised"))
     else:
         out = flagged.join(last_history_refs(turns), "conv_id", "left").withColumn(
-            "resolved", F.when(F.col("gated"), raw).otherwise(
+            "resolved", F.when(F.col("gated"), F.col("normalised")).otherwise(
                 resolve_context(F.col("normalised"), F.col("last_ref")))).drop("last_ref")
+        # The rewritten question depends on the conversation; stored once, parsed once.
+        out = cut_lineage(out)
     parsed = per_distinct(out, "resolved", lambda d: parse_resolved(d, "resolved").withColumn(
         "wants_decisions", wants_decisions(F.col("resolved"))))
     none = F.array().cast("array<struct<law_no:string,article_no:string,article_type:string>>")
@@ -84,13 +86,20 @@ def retrieve(questions: DataFrame, articles: DataFrame, edges: DataFrame | None
              turns: DataFrame | None = None, question_vectors: DataFrame | None = None,
              chunk_vectors: DataFrame | None = None, keyword: bool = True,
              exact_bonus: float = 0.0) -> DataFrame:
-    """Ranked documents per question with score, extraction status and preview.
+    """Ranked documents per question with score, extraction status and preview."""
+    resolved = cut_lineage(resolve_questions(questions, turns))
+    links = cut_lineage(article_links(articles, edges))
+    return retrieve_resolved(resolved, links, articles, question_vectors, chunk_vectors, keyword, exact_bonus)
+
+
+def retrieve_resolved(resolved: DataFrame, links: DataFrame, articles: DataFrame,
+                      question_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None,
+                      keyword: bool = True, exact_bonus: float = 0.0) -> DataFrame:
+    """The same from resolved questions and article links.
 
     Only ids and keys travel until the final list is fixed; article texts are joined to
     the at most eighteen winners of a question.
     """
-    resolved = cut_lineage(resolve_questions(questions, turns))
-    links = cut_lineage(article_links(articles, edges))
     explicit = explicit_candidates(resolved, links)
     parts = [explicit]
     if question_vectors is not None and chunk_vectors is not None:
