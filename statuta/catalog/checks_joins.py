@@ -8,6 +8,7 @@ from ..functions import fixed_values as V
 from ..operators import candidates as C
 from ..operators import corpus, lookup, parsing
 from ..plans import retrieval
+from ..session import cut_lineage
 from .inputs import VIEWS, cte, derived, table
 
 Q: dict = {}
@@ -264,8 +265,8 @@ def _links(spark, sf):
 
 
 def _explicit(spark, sf):
-    resolved = retrieval.resolve_questions(derived(spark, sf, "questions").select("q_id", "question"))
-    return retrieval.explicit_candidates(resolved, _links(spark, sf))
+    resolved = cut_lineage(retrieval.resolve_questions(derived(spark, sf, "questions").select("q_id", "question")))
+    return retrieval.explicit_candidates(resolved, cut_lineage(_links(spark, sf)))
 
 
 _PREV = """, pc AS (SELECT m.q_id, p.id, min(m.pos) AS pos FROM {m} m JOIN prev p ON p.src = m.id
@@ -299,8 +300,8 @@ p AS (SELECT a.vec_id AS q_id, b.vec_id AS id, list_cosine_similarity(a.e, b.e)
 t AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, id) AS ord FROM p QUALIFY ord <= 8)
 SELECT t.q_id, t.id, round(t.sim, 6) AS similarity FROM t JOIN st ON st.id = t.id""")
 def _(spark, sf):
-    resolved = retrieval.resolve_questions(derived(spark, sf, "questions").select("q_id", "question"))
-    links = _links(spark, sf)
+    resolved = cut_lineage(retrieval.resolve_questions(derived(spark, sf, "questions").select("q_id", "question")))
+    links = cut_lineage(_links(spark, sf))
     q, v = _vectors(spark, sf)
     rows = v.withColumn("article_id", F.col("v_id")).withColumn("chunk_index", F.lit(0)).withColumn("chunk_text", F.lit(""))
     found = retrieval.semantic_candidates(resolved, retrieval.explicit_candidates(resolved, links), links, q, rows)

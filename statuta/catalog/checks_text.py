@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..functions import fixed_values as V
-from ..operators import corpus
+from ..operators import corpus, parsing
 from ..sources import readers
 from .inputs import WS, canon_sql, collapse_sql, cte, derived, table
 
@@ -231,6 +231,11 @@ def _numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 9998 + 1).alias("n"))
 
 
+def _unit_numbers(spark, sf):
+    """Round numbers moved up by one, so that every number ends in a unit word."""
+    return _numbers(spark, sf).withColumn("n", F.col("n") + F.when(F.col("n") % 10 == 0, 1).otherwise(0))
+
+
 @register("n05_cardinal_words", "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 9998 + 1 END AS value FROM orders")
 def _(spark, sf):
     words = _spelled(F.col("n"))
@@ -238,9 +243,9 @@ def _(spark, sf):
     return _numbers(spark, sf).select("o_orderkey", numbers.cardinal_value(words).alias("value"))
 
 
-@register("n06_ordinal_words", "SELECT o_orderkey, o_orderkey % 9998 + 1 AS value FROM orders WHERE (o_orderkey % 9998 + 1) % 10 <> 0")
+@register("n06_ordinal_words", "SELECT o_orderkey, o_orderkey % 9998 + 1 + CASE WHEN (o_orderkey % 9998 + 1) % 10 = 0 THEN 1 ELSE 0 END AS value FROM orders")
 def _(spark, sf):
-    return _numbers(spark, sf).where(F.col("n") % 10 != 0).select(
+    return _unit_numbers(spark, sf).select(
         "o_orderkey", numbers.ordinal_value(_spelled(F.col("n"), _ORD_UNITS)).alias("value"))
 
 
@@ -256,10 +261,10 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", numbers.split_compact_words(F.concat(F.lit("Madde "), w, F.lit(" sekiziki"))).alias("q"))
 
 
-@register("n09_ordinal_phrases", "SELECT o_orderkey, concat('HMK ', CAST(o_orderkey % 9998 + 1 AS VARCHAR), '. madde ve sonrası') AS q FROM orders WHERE (o_orderkey % 9998 + 1) % 10 <> 0")
+@register("n09_ordinal_phrases", "SELECT o_orderkey, concat('HMK ', CAST(o_orderkey % 9998 + 1 + CASE WHEN (o_orderkey % 9998 + 1) % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR), '. madde ve sonrası') AS q FROM orders")
 def _(spark, sf):
     words = numbers.fold_number_words(_spelled(F.col("n"), _ORD_UNITS))
-    return _numbers(spark, sf).where(F.col("n") % 10 != 0).select("o_orderkey", numbers.digits_for_ordinals(
+    return _unit_numbers(spark, sf).select("o_orderkey", numbers.digits_for_ordinals(
         F.concat(F.lit("HMK "), words, F.lit(" madde ve sonrası"))).alias("q"))
 
 
@@ -276,7 +281,8 @@ def _(spark, sf):
 SELECT q_id, CASE WHEN form = 5 THEN concat(alias, ' ', CAST(n AS VARCHAR), ' 2. fıkra')
   WHEN form = 4 THEN concat(alias, ' m. ', CAST(n AS VARCHAR), ' ve devamı') ELSE question END AS normalised FROM questions""")
 def _(spark, sf):
-    return derived(spark, sf, "questions").select("q_id", numbers.normalise_question(F.col("question")).alias("normalised"))
+    asked = derived(spark, sf, "questions").select("q_id", "question")
+    return parsing.with_normalised(asked, "question").select("q_id", "normalised")
 
 
 @register("n11_spelled_questions", "SELECT o_orderkey, concat('HMK ', CAST(o_orderkey % 9998 + 1 AS VARCHAR), CASE WHEN o_orderkey % 2 = 0 THEN ' 7 2. fıkra a bendi' ELSE ' kanunu 5' END) AS q FROM orders")

@@ -6,9 +6,12 @@ SQL that both engines read.  ``cte(...)`` gives the same text as a WITH clause.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed_values as V
+from ..session import spread
 
 LAWS = list(V.LAW_NAMES.items())
 _case = lambda expr, values: "CASE " + expr + " " + " ".join(
@@ -98,15 +101,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spark_form(sql: str) -> str:
+    """A fixed list of values per row is a generator in Spark, not a join."""
+    return re.sub(r"CROSS JOIN \(VALUES ([^A]*)\) AS (\w+)\((\w+)\)", lambda m: (
+        f"LATERAL VIEW explode(array({m[1].replace('(', '').replace(')', '')})) {m[2]} AS {m[3]}"), sql)
+
+
 def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
     sql, needs = VIEWS[name]
-    ctes = ", ".join(f"{n} AS ({VIEWS[n][0]})" for n in needs)
+    ctes = _spark_form(", ".join(f"{n} AS ({VIEWS[n][0]})" for n in needs))
+    sql = _spark_form(sql)
     for base in ("part", "orders", "documents"):
         sql_all = ctes + sql
         if f"FROM {base}" in sql_all:
             table(spark, sf, base).createOrReplaceTempView(base)
-    return spark.sql((f"WITH {ctes} " if ctes else "") + sql)
+    return spread(spark.sql((f"WITH {ctes} " if ctes else "") + sql))
 
 
 def cte(*names: str) -> str:

@@ -140,10 +140,10 @@ def article_links(articles: DataFrame, edges: DataFrame | None) -> DataFrame:
     ``PREVIOUS_LIMIT`` documents already present, together no more than that.
     """
     slim = articles.select(
-        "id", "source_type", "law_no", "law_name", "regulation_name", "article_type", "article_no",
+        "id", "source_type", "law_no", "regulation_name", "article_type", "article_no",
         mentions_previous_article(F.col("text")).alias("mentions_previous"))
     statutes = slim.where(F.col("source_type") == "mevzuat")
-    doc = F.struct("id", "law_no", "law_name", "article_type", "article_no")
+    doc = F.struct("id", "law_no", "article_type", "article_no")
     targets = statutes.select(F.col("law_no").alias("target_law_no"),
                               F.col("article_type").alias("target_article_type"),
                               F.col("article_no").alias("target_article_no"), doc.alias("target"))
@@ -167,14 +167,15 @@ def article_links(articles: DataFrame, edges: DataFrame | None) -> DataFrame:
                     F.col("article_no").try_cast("bigint"))
     before = (linked.where((F.col("source_type") == "mevzuat") & (F.col("article_type") == "madde"))
               .select("law_no", F.col("article_no").alias("_prev_no"),
-                      F.struct("id", "law_no", "law_name", "article_type", "article_no", "cited").alias("previous")))
+                      F.struct("id", "law_no", "article_type", "article_no", "cited").alias("previous")))
     wanted = linked.withColumn("_prev_no", F.when(
         F.col("mentions_previous") & (F.col("source_type") == "mevzuat") & (number > 1),
         (number - 1).cast("string")))
     return wanted.join(before, ["law_no", "_prev_no"], "left").drop("_prev_no")
 
 
-_CARRIED = ["id", "law_no", "law_name", "article_type", "article_no"]
+_CARRIED = ["id", "law_no", "article_type", "article_no"]
+_DOCS = "array<struct<id:bigint,law_no:string,article_type:string,article_no:string>>"
 
 
 def _extras(df: DataFrame, extras: Column, source: str, limit: int) -> DataFrame:
@@ -183,9 +184,7 @@ def _extras(df: DataFrame, extras: Column, source: str, limit: int) -> DataFrame
     Rows and their extras come out of one explode, so the candidates are read once.
     """
     own = F.struct(F.lit(0).alias("stage"), F.lit(0).alias("nth"), F.lit(None).cast(
-        "struct<id:bigint,law_no:string,law_name:string,article_type:string,article_no:string,"
-        "cited:array<struct<id:bigint,law_no:string,law_name:string,article_type:string,article_no:string>>>"
-    ).alias("doc"))
+        f"struct<id:bigint,law_no:string,article_type:string,article_no:string,cited:{_DOCS}>").alias("doc"))
     added = F.transform(extras, lambda d, i: F.struct(
         F.lit(1).alias("stage"), i.alias("nth"), d.alias("doc")))
     both = F.when(extras.isNotNull(), F.concat(F.array(own), added)).otherwise(F.array(own))
@@ -193,12 +192,10 @@ def _extras(df: DataFrame, extras: Column, source: str, limit: int) -> DataFrame
     extra = F.col("_x.stage") == 1
     pick = lambda c: F.when(extra, F.col(f"_x.doc.{c}")).otherwise(F.col(c)).alias(c)
     kept = [c for c in df.columns if c not in _CARRIED + [
-        "ord", "retrieval_source", "similarity", "source_type", "regulation_name", "cited", "previous",
-        "mentions_previous"]]
+        "ord", "retrieval_source", "similarity", "source_type", "cited", "previous", "mentions_previous"]]
     flat = rows.select(
         *kept, *[pick(c) for c in _CARRIED],
         F.when(extra, F.lit("mevzuat")).otherwise(F.col("source_type")).alias("source_type"),
-        F.when(~extra, F.col("regulation_name")).alias("regulation_name"),
         F.when(extra, F.lit(source)).otherwise(F.col("retrieval_source")).alias("retrieval_source"),
         F.when(~extra, F.col("similarity")).alias("similarity"),
         F.when(extra, F.col("_x.doc.cited")).otherwise(F.col("cited")).alias("cited"),
@@ -219,8 +216,7 @@ def expand_previous(df: DataFrame, limit: int = V.PREVIOUS_EXTRA) -> DataFrame:
 
 def expand_cited(df: DataFrame, limit: int = V.GRAPH_EXTRA) -> DataFrame:
     """Add the articles that candidates cite, one hop."""
-    docs = F.transform("cited", lambda d: d.withField("cited", F.lit(None).cast(
-        "array<struct<id:bigint,law_no:string,law_name:string,article_type:string,article_no:string>>")))
+    docs = F.transform("cited", lambda d: d.withField("cited", F.lit(None).cast(_DOCS)))
     return _extras(df, docs, "reference_graph", limit)
 
 

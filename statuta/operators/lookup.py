@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import case_numbers
+from ..session import spread
 from .ordered import explode_rows, top_per_key
 
 
@@ -69,7 +70,7 @@ def substring_matches(patterns: DataFrame, texts: DataFrame, pattern: str, text:
                      .when(F.col("_n") == 2, F.concat(F.lit("e:"), F.get("_w", F.lit(0))))
                      .when(F.col("_n") == 1, F.concat(F.lit("s:"), F.get("_w", F.lit(0))))
                      .otherwise(F.concat(F.lit("c:"), F.substring("_p", 1, 1))).alias("_key"))
-    body = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text)).alias("_t"))
+    body = spread(texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text)).alias("_t")))
     held = body.withColumn("_w", _words(F.col("_t"))).select("_tid", F.col("_w"), F.col("_t"))
     unique = F.array_distinct("_w")
     chars = F.array_distinct(F.split(F.regexp_replace("_t", _WORD, ""), ""))

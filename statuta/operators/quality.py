@@ -57,7 +57,10 @@ def number_gaps(articles: DataFrame, article_type: str = "madde") -> DataFrame:
                .select("law_no", F.col("article_no").try_cast("bigint").alias("n"))
                .where(F.col("n").isNotNull()))
     span = numbers.groupBy("law_no").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    every = span.select("law_no", F.explode(F.sequence("lo", "hi")).alias("n"))
+    # Two levels, so that a wide span never becomes one long array.
+    starts = span.select("law_no", "hi", F.explode(F.sequence("lo", "hi", F.lit(10_000))).alias("start"))
+    every = starts.select("law_no", F.explode(F.sequence(
+        "start", F.least("hi", F.col("start") + 9_999))).alias("n"))
     return every.join(numbers.distinct(), ["law_no", "n"], "left_anti")
 
 

@@ -43,8 +43,8 @@ def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> D
             .withColumn("decision_intent", F.col("gated") | F.col("wants_decisions")))
 
 
-_SLIM = ["q_id", "id", "source_type", "law_no", "law_name", "regulation_name", "article_type", "article_no",
-         "cited", "previous", "retrieval_source", "similarity", "ord"]
+_SLIM = ["q_id", "id", "source_type", "law_no", "article_type", "article_no", "cited", "previous",
+         "retrieval_source", "similarity", "ord"]
 
 
 def _slim(df: DataFrame, **extra: F.Column) -> DataFrame:
@@ -64,10 +64,10 @@ def explicit_candidates(resolved: DataFrame, links: DataFrame) -> DataFrame:
     asked = (explode_rows(resolved.where(~F.col("gated")).select("q_id", "regulation_refs"),
                           F.col("regulation_refs"), "ord", "r")
              .select("q_id", F.col("ord").cast("bigint").alias("ord"), "r.*"))
-    regulations = links.where(F.col("source_type") == "yonetmelik").drop("law_name")
+    regulations = links.where(F.col("source_type") == "yonetmelik")
     from_regulation = _slim(
         asked.join(regulations, ["law_no", "regulation_name", "article_no", "article_type"]),
-        law_name=F.col("regulation_name"), retrieval_source=F.lit("direct_yonetmelik_lookup"),
+        retrieval_source=F.lit("direct_yonetmelik_lookup"),
         similarity=null_sim)
     return merge_candidates(union_candidates(direct, from_regulation), V.EXPLICIT_LIMIT, "id")
 
@@ -117,7 +117,9 @@ def retrieve_resolved(resolved: DataFrame, links: DataFrame, articles: DataFrame
     merged = merge_candidates(expand_cited(merged), V.FINAL_LIMIT, "id").drop("cited")
     context = resolved.select("q_id", "resolved", "decision_intent", "ask", "context", "refs")
     ranked = rank_candidates(merged.join(context, "q_id"), "context", V.FINAL_LIMIT, exact_bonus)
-    bodies = articles.select("id", "text", "paragraphs")
+    regulation = F.col("source_type") == "yonetmelik"
+    bodies = articles.select("id", "text", "paragraphs", "regulation_name", F.when(
+        regulation, F.col("regulation_name")).otherwise(F.col("law_name")).alias("law_name"))
     found = ranked.join(bodies, "id").withColumn(
         "matched_text", extract_requested(F.col("text"), F.col("ask"), F.col("paragraphs")))
     return found.select(
