@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_counts
 
 Q: dict = {}
 
@@ -24,3 +24,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @register("op5_bpe_round_trip")
 def _(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op6_token_counts")
+def _(spark, sf):
+    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
