@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from statuta.llm import bpe
+from statuta.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,20 +27,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return os.path.join(base, f"pipeline-{uuid.uuid4().hex}")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each writes its rows, and the next one reads them."""
-    folder = work_folder(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        path = os.path.join(folder, f"{k}_{name}")
+        path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

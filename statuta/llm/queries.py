@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, token_counts, token_files
 
 Q: dict = {}
 
@@ -29,3 +29,8 @@ def _(spark, sf):
 @register("op6_token_counts")
 def _(spark, sf):
     return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@register("op9_token_files")
+def _(spark, sf):
+    return token_files.written_and_read(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
