@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts, token_files
+from . import bpe, fertility, token_counts, token_files
 
 Q: dict = {}
 
@@ -34,3 +34,8 @@ def _(spark, sf):
 @register("op9_token_files")
 def _(spark, sf):
     return token_files.written_and_read(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@register("op7_quality_fertility")
+def _(spark, sf):
+    return fertility.measure(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
