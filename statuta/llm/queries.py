@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, token_counts, token_files
+from . import bpe, fertility, mixing, token_counts, token_files
 
 Q: dict = {}
 
@@ -39,3 +39,8 @@ def _(spark, sf):
 @register("op7_quality_fertility")
 def _(spark, sf):
     return fertility.measure(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op1_mix_sources")
+def _(spark, sf):
+    return mixing.budgets(table(spark, sf, "documents")).drop("content", "epochs", "tail")
