@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, mixing, token_counts, token_files
+from . import bpe, fertility, line_chunks, mixing, token_counts, token_files
 
 Q: dict = {}
 
@@ -44,3 +44,8 @@ def _(spark, sf):
 @register("op1_mix_sources")
 def _(spark, sf):
     return mixing.budgets(table(spark, sf, "documents")).drop("content", "epochs", "tail")
+
+
+@register("op10_line_chunks")
+def _(spark, sf):
+    return line_chunks.report(table(spark, sf, "documents"))
