@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, line_chunks, mixing, token_counts, token_files
+from . import bpe, fertility, line_chunks, mixing, ngram_join, token_counts, token_files
 
 Q: dict = {}
 
@@ -49,3 +49,8 @@ def _(spark, sf):
 @register("op10_line_chunks")
 def _(spark, sf):
     return line_chunks.report(table(spark, sf, "documents"))
+
+
+@register("op8_ngram_classes")
+def _(spark, sf):
+    return ngram_join.classes(table(spark, sf, "documents"))
