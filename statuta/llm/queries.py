@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, line_chunks, mixing, ngram_join, token_counts, token_files
+from . import bpe, fertility, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
 
 Q: dict = {}
 
@@ -54,3 +54,8 @@ def _(spark, sf):
 @register("op8_ngram_classes")
 def _(spark, sf):
     return ngram_join.classes(table(spark, sf, "documents"))
+
+
+@register("op2_toxicity")
+def _(spark, sf):
+    return toxicity.learned_and_scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
