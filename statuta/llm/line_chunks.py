@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Lines under the rolling hash, cuttings, and in how many of CUT_OF cases a line does not end a chunk.
 ROLL_LINES, SEEDS, CUT_OF = 2, (11, 23, 47), 4
 
@@ -56,34 +58,45 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                         F.xxhash64(F.slice("h", F.col("s.b") + 1, F.col("s.e") - F.col("s.b"))).alias("hash"))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_k, _c, spans): line ranges of each document that repeat an earlier block byte for byte."""
-    found = blocks(docs, key, text)
-    place = F.struct("_key", "_c", "b")
-    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    candidates = found.join(often, "hash")
-    own = candidates.groupBy("_k", "_c").agg(F.collect_set(F.struct("b", "e", "hash")).alias("cand"))
-    with_text = _named(docs, key, text).select("_k", "_c", "_text").join(own, ["_k", "_c"])
-    texts = with_text.select(lines_of(F.col("_text")).alias("lines"), F.explode("cand").alias("s")).select(
-        F.col("s.hash").alias("hash"), F.array_join(F.slice("lines", F.col("s.b") + 1, F.col("s.e") - F.col("s.b")), "\n").alias("block"))
-    # equal least and greatest bytes: all blocks of the hash are the same
-    same = texts.groupBy("hash").agg(F.min("block").alias("least"), F.max("block").alias("most")).filter("least = most").select("hash")
-    later = candidates.filter(~F.struct("_key", "_c", "b").eqNullSafe(F.col("first"))).join(same, "hash", "left_semi")
-    return later.groupBy("_k", "_c").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))).withColumn("_c", F.xxhash64(F.col(text).cast("string")))
+
+
+def _block(lines: Column, span: Column) -> Column:
+    return F.array_join(F.slice(lines, span.getField("b") + 1, span.getField("e") - span.getField("b")), "\n")
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_k, _c, kept_text, n_lines, n_removed) beside the columns of ``docs``; see ``dedup`` and ``report``."""
-    marks = repeated_spans(docs, key, text).select(F.col("_k").alias("_mk"), F.col("_c").alias("_mc"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))).withColumn("_c", F.xxhash64(F.col(text).cast("string")))
-    joined = rows.join(marks, (F.col("_k") == F.col("_mk")) & (F.col("_c") == F.col("_mc")), "left")
+    """(_k, _c, _kept, _n_lines, _n_removed) beside the columns of ``docs``; see ``dedup`` and ``report``.
+
+    Texts are dealt out once, by document; both uses of them read the same exchange.
+    """
+    found = blocks(docs, key, text)
+    place = F.struct("_key", "_c", "b")
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    own = cut_lineage(found.join(often, "hash").groupBy(F.col("_k").alias("_mk"), F.col("_c").alias("_mc")).agg(
+        F.collect_set(F.struct("b", "e", "hash", (~place.eqNullSafe(F.col("first"))).alias("later"))).alias("_cand")))
+    joined = _rows(docs, key, text).join(own, (F.col("_k") == F.col("_mk")) & (F.col("_c") == F.col("_mc")), "left")
     lines = lines_of(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    gone = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s.b, s.e - 1))))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return (joined.withColumn("_kept", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut))
+    # the other columns ride along, so that this side asks the exchange for the same columns as the result does
+    others = F.struct(*[c for c in docs.columns if c != text], "_k", "_c")
+    texts = joined.select("_k", "_c", lines.alias("lines"), others.alias("o"), F.explode("_cand").alias("s")).select(
+        F.col("s.hash").alias("hash"), F.struct(_block(F.col("lines"), F.col("s")).alias("block"), "o").alias("v"))
+    # unequal least and greatest bytes: the blocks of the hash are not all the same, and stay
+    unlike = texts.groupBy("hash").agg(F.min("v").alias("least"), F.max("v").alias("most")).filter(
+        "least.block != most.block").select("hash")
+    spared = own.select("_mk", "_mc", F.explode("_cand").alias("s")).filter("s.later").join(
+        unlike, F.col("s.hash") == F.col("hash"), "left_semi").groupBy(F.col("_mk").alias("_sk"), F.col("_mc").alias("_sc")).agg(
+        F.collect_set("s.hash").alias("_spared"))
+    marked = joined.join(spared, (F.col("_k") == F.col("_sk")) & (F.col("_c") == F.col("_sc")), "left")
+    later = F.filter("_cand", lambda s: s.later & ~F.coalesce(F.array_contains("_spared", s.hash), F.lit(False)))
+    with_gone = marked.withColumn("_gone", F.array_distinct(F.flatten(F.transform(later, lambda s: F.sequence(s.b, s.e - 1)))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    some = F.coalesce(F.size("_gone"), F.lit(0)) > 0
+    split = with_gone.withColumn("_all", F.when(some, lines)).withColumn("_left", F.when(some, left))
+    return (split.withColumn("_kept", F.when(some, F.array_join(F.transform("_left", lambda i: F.get("_all", i)), "\n")).otherwise(F.col(text)))
             .withColumn("_n_lines", F.when(F.coalesce(F.col(text).cast("string"), F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long"))
-            .withColumn("_n_removed", F.when(F.col("_spans").isNull(), 0).otherwise(F.size(gone)).cast("long")))
+            .withColumn("_n_removed", F.when(some, F.size("_gone")).otherwise(0).cast("long")))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -82,7 +82,7 @@ def budgets(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHT
                         F.xxhash64(F.col(text).cast("string")).alias("content"))
     # the whole words of the target; a target is at most ``most`` times the source's size
     goal = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
+    epochs = F.when(F.col("size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     out = _plan(sizes, seed, weights, share, most).withColumn("epochs", epochs).withColumn(
         "tail", F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("epochs") * F.col("source_size") - F.col("before"))).cast("long"))
     return out.select(F.col("doc_id").alias(key), "size", "source_size", "target",
