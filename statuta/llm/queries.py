@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, fertility, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
 
 Q: dict = {}
 
@@ -59,3 +59,8 @@ def _(spark, sf):
 @register("op2_toxicity")
 def _(spark, sf):
     return toxicity.learned_and_scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op3_html_text")
+def _(spark, sf):
+    return html_text.extract(table(spark, sf, "pages"))
