@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, fertility, fingerprints, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
 
 Q: dict = {}
 
@@ -64,3 +64,8 @@ def _(spark, sf):
 @register("op3_html_text")
 def _(spark, sf):
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@register("op4_fingerprints")
+def _(spark, sf):
+    return fingerprints.compared(table(spark, sf, "documents"))
