@@ -111,5 +111,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, n_removed, kept_text) of every row."""
-    return remove_repeated(docs, key, text).select(
+    return remove_repeated(docs.select(key, text), key, text).select(
         F.col(key).alias(key), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept_text"))
