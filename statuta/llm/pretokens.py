@@ -17,9 +17,9 @@ import pandas as pd
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points of one array pass, and of the texts that are held together.
-CHUNK_CHARS, SLAB_CHARS = 1 << 20, 16 << 20
+CHUNK_CHARS, SLAB_CHARS = 1 << 20, 8 << 20
 #: Distinct pieces a Python worker keeps between batches.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 # Unicode White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -170,23 +170,30 @@ def numbered(joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 class WordTable:
     """Token ids of distinct pieces, kept for the life of a Python worker within KEPT_WORDS.
 
-    ``encode`` gets the new pieces of a slab at once and returns their ids as (counts, flat ids).
+    ``encode`` gets the new pieces of a slab at once and returns their ids as (counts, flat ids).  Of all
+    tables of a worker only the one in use holds pieces.
     """
 
+    in_use: WordTable | None = None
+
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fixed: dict[str, int]):
         self._encode, self._fixed = encode, fixed
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.counts, self.ids, self.texts = np.zeros(0, np.int64), np.zeros(0, np.int32), []
+        self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.known = 0
         for word in self._fixed:
             self.number[word] = len(self.number)
 
     def renew(self) -> None:
-        """Forget the pieces when there are too many; only between slabs."""
+        """Forget the pieces when there are too many, and those of another table; only between slabs."""
+        if WordTable.in_use is not self:
+            if WordTable.in_use is not None:
+                WordTable.in_use._clear()
+            WordTable.in_use = self
         if len(self.number) > KEPT_WORDS:
             self._clear()
 
