@@ -168,7 +168,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", digests:
 
     The edited text keeps the first half and ends in the start of the next document's text, by ascending
     integer key; the last one is followed by the first.  A null key comes before all others; rows of equal
-    keys share their next document, whose text is the one of least hash where several have its key.  A null
+    keys share their next document, whose text is the least one where several have its key.  A null
     text is empty; texts without paragraphs are alike.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("k"),
@@ -176,8 +176,9 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", digests:
     ids = rows.groupBy("k").agg(F.max(F.floor(F.length("text") / 2)).alias("half"))
     after = successors(ids.select("k"))
     needs = after.join(ids, "k").select(F.col("next").alias("nk"), F.col("k").alias("asker"), "half")
-    first = Window.partitionBy("k").orderBy(F.xxhash64("text"))
-    givers = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").join(needs, F.col("k") == F.col("nk"))
+    first = Window.partitionBy("k").orderBy("text")
+    # told by the row before it: a rank would be cut before the exchange, which the result could then not share
+    givers = rows.withColumn("above", F.lag("k").over(first)).filter("above is null").join(needs, F.col("k") == F.col("nk"))
     # the key rides along, so that both uses of the texts ask the exchange for the same columns
     given = givers.select("asker", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"), digests(F.col("text")).alias("dn"),
                           F.col("key").alias("next_key"))
