@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens as P
+from .columns import keyed, rekeyed
 
 _NONE = np.iinfo(np.int32).max
 
@@ -91,6 +92,8 @@ class MergeTable:
         at = np.flatnonzero(nxt >= 0).astype(np.int32)
         rank = self.ranks(sym[at], sym[nxt[at]])
         at, rank = at[rank != _NONE], rank[rank != _NONE]
+        if not len(at):
+            return
         order = np.argsort(rank, kind="stable")
         at, rank = at[order], rank[order]
         active, begin = np.unique(rank, return_index=True)
@@ -194,26 +197,23 @@ def _digits(path: str) -> list[str]:
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row.  A null text is empty and has no ids; equal texts have equal ids; special
     strings of the tokenizer file become their ids; other columns are not read."""
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
-        for keys, ids in encoded(batches, key, text, path):
+        for keys, ids in encoded(batches, "key", "text", path):
             yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "ids": [x.tolist() for x in ids]})
 
-    return docs.select(F.col(key).alias(key), F.col(text).cast("string").alias(text)).mapInPandas(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return rekeyed(keyed(docs, key, text).mapInPandas(run, "key string, ids array<int>"), docs, key)
 
 
 def decode(encoded_rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text) from (key, ids); null ids give null, bytes that are no UTF-8 give U+FFFD."""
-    kind = encoded_rows.schema[key].dataType.simpleString()
-
     def run(batches):
         table = merge_table(path)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf[key], "text": [
-                None if x is None else table.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") for x in pdf[ids]]})
+            yield pd.DataFrame({"key": pdf["key"], "text": [
+                None if x is None else table.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") for x in pdf["ids"]]})
 
-    return encoded_rows.select(key, ids).mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    rows = encoded_rows.select(F.col(key).cast("string").alias("key"), F.col(ids).alias("ids"))
+    return rekeyed(rows.mapInPandas(run, "key string, text string"), encoded_rows, key)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,15 +223,12 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     keys stay rows of their own.  Texts are handled whole, in slabs of about SLAB_CHARS code points or
     of one longer text.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
         table, digits = merge_table(path), _digits(path)
-        for keys, ids in encoded(batches, key, text, path):
+        for keys, ids in encoded(batches, "key", "text", path):
             yield pd.DataFrame({
                 "key": pd.Series(keys, dtype=object), "n_tokens": [len(x) for x in ids],
                 "ids_sha256": [hashlib.sha256(",".join([digits[i] for i in x.tolist()]).encode()).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(table.decode(x).decode("utf-8", "replace").encode()).hexdigest() for x in ids]})
 
-    return docs.select(F.col(key).alias(key), F.col(text).cast("string").alias(text)).mapInPandas(
-        run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return rekeyed(keyed(docs, key, text).mapInPandas(run, "key string, n_tokens long, ids_sha256 string, decoded_sha256 string"), docs, key)

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import pretokens as P
+from .columns import keyed, numbered, rekeyed
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,7 @@ def measure(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     A null or empty text has no words and fails the base rule.  Rows with equal or null keys stay rows
     of their own; other columns are not read, so their names cannot clash.
     """
-    kind, limits = docs.schema[key].dataType.simpleString(), {**BANDS, **(bands or {})}
+    limits = {**BANDS, **(bands or {})}
 
     def run(batches):
         for pdf in _slabs(batches, "text"):
@@ -195,8 +196,7 @@ def measure(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             frame.insert(0, "key", pdf["key"])
             yield frame
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
-        run, f"key {kind}, {MEASURES}").withColumnRenamed("key", key)
+    return rekeyed(keyed(docs, key, text).mapInPandas(run, f"key string, {MEASURES}"), docs, key)
 
 
 def keep(docs: DataFrame, path: str, text: str = "text", bands: dict[str, Band] | None = None) -> DataFrame:
@@ -204,7 +204,12 @@ def keep(docs: DataFrame, path: str, text: str = "text", bands: dict[str, Band]
     limits = {**BANDS, **(bands or {})}
 
     def run(batches):
-        for pdf in _slabs(batches, text):
-            yield pdf[measures(["" if t is None else t for t in pdf[text].tolist()], path, limits).kept.to_numpy()]
-
-    return docs.mapInPandas(run, docs.schema)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for b, e in P.chunks(texts, P.SLAB_CHARS):
+                kept = measures(texts[b:e], path, limits).kept.to_numpy()
+                yield batch.slice(b, e - b).filter(pa.array(kept))
+
+    inner, _ = numbered(docs)
+    at = docs.columns.index(text)
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)

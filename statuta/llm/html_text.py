@@ -13,7 +13,8 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .columns import keyed, rekeyed
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -302,13 +303,10 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
     A null page gives null text and zeros, an empty or invisible one the empty text.  Rows with equal or
     null keys stay rows of their own; other columns are not read.
     """
-    kind = pages.schema[key].dataType.simpleString()
-
     def run(batches):
         for pdf in batches:
-            texts = [None if h is None else text_of(h) for h in pdf["html"].tolist()]
+            texts = [None if h is None else text_of(h) for h in pdf["text"].tolist()]
             yield pd.DataFrame({"key": pdf["key"], "text": texts, "n_chars": [len(t or "") for t in texts],
                                 "n_lines": [t.count("\n") + 1 if t else 0 for t in texts]})
 
-    return pages.select(F.col(key).alias("key"), F.col(html).cast("string").alias("html")).mapInPandas(
-        run, f"key {kind}, text string, n_chars long, n_lines long").withColumnRenamed("key", key)
+    return rekeyed(keyed(pages, key, html).mapInPandas(run, "key string, text string, n_chars long, n_lines long"), pages, key)

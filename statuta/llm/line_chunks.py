@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .columns import numbered
 
 #: Lines under the rolling hash, cuttings, and in how many of CUT_OF cases a line does not end a chunk.
 ROLL_LINES, SEEDS, CUT_OF = 2, (11, 23, 47), 4
@@ -106,10 +107,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     do texts of one line; a text all of whose lines go becomes empty; rows alike in key and text are one
     document and lose the same lines.
     """
-    return remove_repeated(docs, key, text).select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns])
+    inner, (own_key, own_text) = numbered(docs, key, text)
+    kept = remove_repeated(inner, own_key, own_text)
+    return kept.select(*[F.col("_kept") if c == own_text else F.col(c) for c in inner.columns]).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, n_removed, kept_text) of every row."""
-    return remove_repeated(docs.select(key, text), key, text).select(
-        F.col(key).alias(key), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept_text"))
+    rows = docs.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
+    return remove_repeated(rows, "c0", "c1").select(
+        F.col("c0").alias(key), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept_text"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import numbered
+
 #: Ranges of the random key per source: 2**RANGE_BITS.
 RANGE_BITS = 10
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -96,6 +98,8 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     Rows of equal key and content are told apart by their number only: those with most words to give come
     first.  Every column but the cut text stays as it is.
     """
+    names = docs.columns
+    docs, (key, text, source) = numbered(docs, key, text, source)
     plan = budgets(docs, seed, weights, share, most, key, text, source)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
     alike = plan.groupBy(name(key).alias("_key"), F.col("content").alias("_content"), F.col("epochs").alias("_epochs"), F.col("tail").alias("_tail")).agg(
@@ -112,4 +116,4 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     copies = F.when(F.col("_tail") > 0, F.concat(whole, F.array(own_tail))).otherwise(whole)
     cut = joined.withColumn("_cut", F.explode(copies))
     return cut.select(*[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(first_words(F.col(c), F.col("_cut"))).alias(c) if c == text else F.col(c)
-                        for c in docs.columns])
+                        for c in docs.columns]).toDF(*names)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import pretokens as P
+from .columns import keyed, numbered
 from .components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -132,8 +133,6 @@ def _texts(pdf: pd.DataFrame):
 
 def _described(docs: DataFrame, key: str, text: str, n_words: int) -> DataFrame:
     """(key, content, sid, n_grams, keys) of every row; without words sid is null."""
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
         for whole in batches:
             texts = _texts(whole)
@@ -146,8 +145,9 @@ def _described(docs: DataFrame, key: str, text: str, n_words: int) -> DataFrame:
                                         "sid": [s if n else None for s, n in zip(_identities(grams, per), per, strict=True)],
                                         "n_grams": per, "keys": [k if n else [] for k, n in zip(keys, per, strict=True)]})
 
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("content"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"key {kind}, content long, sid binary, n_grams long, keys array<long>")
+    rows = keyed(docs, key, text).withColumn("content", F.xxhash64("text"))
+    described = rows.mapInPandas(run, "key string, content long, sid binary, n_grams long, keys array<long>")
+    return described.withColumn("key", F.col("key").cast(docs.schema[key].dataType))
 
 
 def _with_sets(nodes: DataFrame, n_words: int) -> DataFrame:
@@ -297,6 +297,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n_word
                 tolerance: float = TOLERANCE) -> DataFrame:
     """The rows of ``docs``, with their columns, that come first in their class by key, then by content hash;
     rows without words all stay."""
+    names = docs.columns
+    docs, (key, text) = numbered(docs, key, text)
     rows, nodes = _labels(docs, key, text, n_words, threshold, tolerance)
     name = lambda c: F.coalesce(c.cast("string"), F.lit("\u0000"))
     first = rows.join(nodes, "sid").groupBy("label").agg(F.min(F.struct("key", "content")).alias("first")).select(
@@ -305,4 +307,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n_word
     marked = docs.withColumn("_k", name(F.col(key))).withColumn("_c", F.xxhash64(F.col(text).cast("string")))
     marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_c").orderBy(F.lit(0))))
     kept = marked.join(first.unionByName(bare), (F.col("_k") == F.col("_fk")) & (F.col("_c") == F.col("_fc"))).filter("_bare or _n = 1")
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).toDF(*names)

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import pretokens as P
 from .bpe import MergeTable
+from .columns import keyed, rekeyed
 
 #: Checked pairs of neighbours a Python worker keeps.
 KEPT_PAIRS = 400_000
@@ -156,18 +156,12 @@ def _slabs(batches: Iterator[pd.DataFrame], path: str):
         yield slab, codes, n, table
 
 
-def _input(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every row, by whole texts.
 
     A null or empty text has 0 bytes and 0 tokens; special strings count one token each; rows with
     equal or null keys stay rows of their own; other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
         for slab, codes, n, table in _slabs(batches, path):
             last = table.ids[np.maximum(table.starts + table.counts - 1, 0)]  # count of the whole piece
@@ -177,8 +171,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_
             yield pd.DataFrame({"key": pd.Series([k for k, _ in slab], dtype=object), "n_bytes": [len(t.encode()) for _, t in slab],
                                 "n_tokens": total, "over_limit": total > limit})
 
-    return _input(docs, key, text).mapInPandas(
-        run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
+    return rekeyed(keyed(docs, key, text).mapInPandas(run, "key string, n_bytes long, n_tokens long, over_limit boolean"), docs, key)
 
 
 def fit(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,8 +180,6 @@ def fit(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str =
 
     A null or empty text keeps nothing; a limit of 0 keeps nothing.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
         for slab, codes, n, table in _slabs(batches, path):
             last = table.ids[np.maximum(table.starts + table.counts - 1, 0)]
@@ -208,5 +199,5 @@ def fit(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str =
                 out.append((k, int(sums[-1]) if size else 0, kept, whole, chars))
             yield pd.DataFrame(out, columns=["key", "n_tokens", "kept_tokens", "kept_pieces", "kept_chars"])
 
-    return _input(docs, key, text).mapInPandas(
-        run, f"key {kind}, n_tokens long, kept_tokens long, kept_pieces long, kept_chars long").withColumnRenamed("key", key)
+    return rekeyed(keyed(docs, key, text).mapInPandas(
+        run, "key string, n_tokens long, kept_tokens long, kept_pieces long, kept_chars long"), docs, key)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import pretokens as P
+from .columns import keyed, rekeyed
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 # The grammar's own words.
@@ -289,8 +290,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     A null or empty text scores as a text without matched clauses.  Rows with equal or null keys stay rows
     of their own; other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
     def run(batches):
         for whole in batches:
             texts = ["" if t is None else t for t in whole["text"].tolist()]
@@ -298,8 +297,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 own = model.scores(texts[b:e])
                 yield pd.DataFrame({"key": whole["key"].iloc[b:e].tolist(), "score": own, "predicted": (own >= 0.5).astype(np.int32)})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
-        run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+    return rekeyed(keyed(docs, key, text).mapInPandas(run, "key string, score double, predicted int"), docs, key)
 
 
 def held_out(key: str = "doc_id"):
