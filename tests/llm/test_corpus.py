@@ -167,7 +167,9 @@ def test_components(spark):
 
 def test_pipeline_stages(spark, odd_rows, tmp_path, paths):
     """Each stage on its own input, and the whole run, against plain computations."""
-    prose = [(100 + i, " ".join(f"w{(i * 31 + k * 17) % 997}" for k in range(40)) + "\nlast line here", "en", f"s{i % 4}", 1) for i in range(30)]
+    parts = "water house mountain garden letter window silver river paper summer winter market bridge forest island".split()
+    word = lambda n: parts[n % 15] + parts[n // 15 % 15]
+    prose = [(100 + i, " ".join(word(i * 31 + k * 17) for k in range(40)) + "\nlast line here", "en", f"s{i % 4}", 1) for i in range(30)]
     copies = [(200 + i, prose[0][1] + f" {i}", "en", "s1", 1) for i in range(3)]
     folder = tmp_path / "sf"
     spark.createDataFrame([*odd_rows, *prose, *copies], COLUMNS).write.parquet(str(folder / "documents.parquet"))
@@ -181,7 +183,7 @@ def test_pipeline_stages(spark, odd_rows, tmp_path, paths):
     three = near(spark, two, str(folder))
     rows = [tuple(r) for r in two.select("doc_id", "text").collect()]
     empty_ids = [k for k, t in rows if not WORD.search(t)]
-    assert sorted(r.doc_id for r in three.collect()) == sorted([*{c for k, c, _ in brute_classes(rows) if k not in empty_ids}, *empty_ids])
+    assert sorted(str(r.doc_id) for r in three.collect()) == sorted(map(str, [*{c for k, c, _ in brute_classes(rows) if k not in empty_ids}, *empty_ids]))
     four = mix(spark, three, str(folder))
     assert all(s.columns == corpus_pipeline.COLUMNS for s in (one, two, three, four))
     five = encode(spark, four, str(folder))
