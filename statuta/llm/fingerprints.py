@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 PIECE = 128
 #: Digests a group is made for, tables per group, cells of each table in the attempts, rounds of peeling.
-GROUP_LOAD, TABLES, CELLS, ROUNDS = 8, 4, (12, 24, 48), 8
+GROUP_LOAD, TABLES, CELLS, ROUNDS = 12, 4, (12, 24, 48), 8
 _NULL_ID = -(1 << 63)
 
 
