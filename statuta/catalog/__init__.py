@@ -11,9 +11,5 @@ def registry() -> dict:
     """name -> (query function, SQL or None)."""
     out: dict = {}
     for name in _MODULES:
-        try:
-            module = importlib.import_module(f"{__name__}.{name}")
-        except ModuleNotFoundError:
-            continue
-        out.update(module.Q)
+        out.update(importlib.import_module(f"{__name__}.{name}").Q)
     return out

@@ -180,7 +180,7 @@ def _(spark, sf):
 
 # --- routing --------------------------------------------------------------------------
 
-_ROUTES = _ST + """, rt AS (SELECT q_id, CASE WHEN q_id NOT IN (SELECT q_id FROM explicit) THEN CASE WHEN form = 9 THEN 'deterministic_no_source' ELSE 'deterministic_no_source' END
+_ROUTES = _ST + """, rt AS (SELECT q_id, CASE WHEN q_id NOT IN (SELECT q_id FROM explicit) THEN 'deterministic_no_source'
   WHEN form = 7 THEN 'deterministic_article_text_contains' WHEN form = 8 THEN 'deterministic_article_paragraph_count' WHEN form = 5 THEN 'deterministic_article_specific_paragraph'
   WHEN form IN (0, 3, 6) THEN 'deterministic_plain_article_lookup' WHEN form = 9 THEN 'deterministic_no_karar' ELSE 'llm_generation' END AS route FROM questions)"""
 
@@ -325,11 +325,11 @@ def _sources(spark, sf):
 
 _AUDIT = cte("answer_keys", "listed") + """, a AS (SELECT q_id, q_id % 8 AS k, (SELECT count(*) FROM listed l WHERE l.q_id = x.q_id) AS n FROM answer_keys x),
 r AS (SELECT q_id, k, CASE WHEN k = 4 THEN 'empty_answer' WHEN q_id % 11 = 0 THEN 'no_sources'
-  WHEN k = 1 AND q_id % 6 <> 1 THEN 'unsupported_legal_term:zamanaşımı' WHEN k = 1 THEN 'unsupported_legal_term:zamanaşımı' WHEN k = 6 THEN 'unsupported_legal_term:illiyet_bagi'
+  WHEN k = 1 THEN 'unsupported_legal_term:zamanaşımı' WHEN k = 6 THEN 'unsupported_legal_term:illiyet_bagi'
   WHEN k = 2 AND NOT (q_id % 5 = 0 AND n > 1) THEN 'forbidden_case_term:yargıtay' WHEN k = 3 THEN 'no_allowed_reference' ELSE 'ok' END AS reason FROM a)"""
 
 
-@register("p17_unsupported_terms", cte("statutes") + """ SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN contains(lower(text), 'faiz') THEN 'zamanaşımı' ELSE 'zamanaşımı' END
+@register("p17_unsupported_terms", cte("statutes") + """ SELECT id, CASE WHEN id % 3 = 0 THEN 'zamanaşımı'
   WHEN id % 3 = 1 THEN CASE WHEN contains(lower(text), 'faiz') THEN NULL ELSE 'faiz' END ELSE NULL END AS first_group FROM statutes""")
 def _(spark, sf):
     said = F.when(F.col("id") % 3 == 0, "ZAMANAŞIMI ve yasal faiz").when(F.col("id") % 3 == 1, "Temerrüt faizi istenir").otherwise("zarar")

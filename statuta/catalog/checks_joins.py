@@ -91,8 +91,13 @@ def _(spark, sf):
         "q_id", "v_id", _big("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-_BEST = _COS + """, b AS (
-SELECT q_id, v_id % 100 AS article_id, max(sim) AS sim, max_by(v_id, sim) AS chunk FROM t WHERE rank <= 8 GROUP BY ALL)
+# Two documents make one article; a document has the vector of its number, so many similarities tie.
+_BEST = """
+WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT doc_id AS v_id, doc_id - doc_id % 2 AS article_id, e FROM documents, n JOIN v ON vec_id = doc_id % n),
+p AS (SELECT v.vec_id AS q_id, c.v_id, c.article_id, list_cosine_similarity(v.e, c.e) AS sim FROM v, c),
+t AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, v_id) AS rank FROM p),
+b AS (SELECT q_id, article_id, max(sim) AS sim, min_by(v_id, rank) AS chunk FROM t WHERE rank <= 8 GROUP BY ALL)
 """
 
 
@@ -101,17 +106,29 @@ SELECT q_id, doc_id AS id, chunk AS chunk_index, round(sim, 6) AS similarity, ro
 FROM b JOIN documents ON doc_id = article_id""")
 def _(spark, sf):
     q, v = _vectors(spark, sf)
-    hits = lookup.vector_top_k(q, v, V.SEMANTIC_COUNT).drop("rank")
-    rows = v.select("v_id", (F.col("v_id") % 100).alias("article_id"), F.col("v_id").alias("chunk_index"), F.lit("").alias("chunk_text"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    owned = docs.select(F.col("id").alias("v_id"), (F.col("id") % v.count()).alias("own"))
+    chunks = owned.join(v.select(F.col("v_id").alias("own"), "vector"), "own")
+    hits = lookup.vector_top_k(q, chunks.select("v_id", "vector"), V.SEMANTIC_COUNT).drop("rank")
+    rows = owned.select("v_id", (F.col("v_id") - F.col("v_id") % 2).alias("article_id"), F.col("v_id").alias("chunk_index"), F.lit("").alias("chunk_text"))
     return lookup.best_chunk_articles(hits, rows, docs).select(
         "q_id", "id", "chunk_index", F.round("similarity", 6).alias("similarity"), "ord")
 
 
-@register("j07_decision_vectors", _COS + " SELECT q_id, v_id, round(sim, 6) AS similarity FROM t WHERE rank <= 5")
+@register("j07_decision_vectors", """
+WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS q_id, b.vec_id AS own, list_cosine_similarity(a.e, b.e) AS sim FROM v a, v b),
+d AS (SELECT o_orderkey AS id, o_orderstatus AS chamber, o_orderkey % n AS own FROM orders, n),
+t AS (SELECT q_id, id, chamber, sim, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 12) DESC, id) AS rank FROM s JOIN d USING (own)
+      QUALIFY rank <= 5)
+SELECT q_id, id, chamber, round(sim, 6) AS similarity FROM t""")
 def _(spark, sf):
-    return lookup.vector_top_k(*_vectors(spark, sf), V.DECISION_COUNT, query_block=100, vector_block=150).select(
-        "q_id", "v_id", F.round("similarity", 6).alias("similarity"))
+    q, v = _vectors(spark, sf)
+    decisions = _decisions(spark, sf).select("id", "chamber")
+    owned = decisions.select(F.col("id").alias("v_id"), (F.col("id") % v.count()).alias("own")).join(
+        v.select(F.col("v_id").alias("own"), "vector"), "own")
+    hits = lookup.vector_top_k(q, owned.select("v_id", "vector"), V.DECISION_COUNT, vector_blocks=3)
+    return hits.withColumnRenamed("v_id", "id").join(decisions, "id").select("q_id", "id", "chamber", F.round("similarity", 6).alias("similarity"))
 
 
 def _decisions(spark, sf):

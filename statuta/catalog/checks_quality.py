@@ -295,9 +295,9 @@ def _(spark, sf):
     return K.decision_statistics(rows, ["title"])
 
 
-@register("a10_random_sample", None)
+@register("a10_random_sample", "SELECT doc_id, source FROM documents ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 5")
 def _(spark, sf):
-    return K.random_sample(table(spark, sf, "documents").select("doc_id", "source"), 5)
+    return K.random_sample(table(spark, sf, "documents").select("doc_id", "source"), 5, key="doc_id")
 
 
 @register("a13_mixed_values", """WITH f AS (SELECT l_orderkey, min_by(l_returnflag, pos) AS fr, min_by(l_linestatus, pos) AS fs FROM (SELECT *, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS pos FROM lineitem) GROUP BY 1)

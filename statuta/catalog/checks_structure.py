@@ -110,7 +110,9 @@ def _(spark, sf):
     n, n1 = F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")
     raw = F.concat(F.lit("Kanun başlığı\nAmaç Madde "), n, F.lit(" - (1) "), "p_name", F.lit(" uygulanır. Kapsam Madde "), n1, F.lit(" - "),
                    "p_type", F.lit(" saklıdır. Ek Madde 1 - "), "p_brand")
-    return table(spark, sf, "part").select("p_partkey", segment.reline_inline_headers(raw).alias("t"))
+    lines = segment.reline_inline_headers(table(spark, sf, "part").select("p_partkey", raw.alias("t")), "p_partkey", "t")
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy(F.col("file").alias("p_partkey")).agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("t"))
 
 
 @register("g06_longest_article", """

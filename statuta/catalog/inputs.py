@@ -11,7 +11,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed_values as V
-from ..session import spread
 
 LAWS = list(V.LAW_NAMES.items())
 _case = lambda expr, values: "CASE " + expr + " " + " ".join(
@@ -116,7 +115,10 @@ def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
         sql_all = ctes + sql
         if f"FROM {base}" in sql_all:
             table(spark, sf, base).createOrReplaceTempView(base)
-    return spread(spark.sql((f"WITH {ctes} " if ctes else "") + sql))
+    rows = spark.sql((f"WITH {ctes} " if ctes else "") + sql)
+    # a session may ask for its (small) inputs to be dealt out; nothing is done without that
+    parts = spark.conf.get("statuta.input.partitions", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def cte(*names: str) -> str:

@@ -77,8 +77,3 @@ def alias_frame(spark: SparkSession) -> DataFrame:
     """The law aliases as a table with the subset flags."""
     rows = [(a, law, a in SHORT_ALIASES, a in EXPLICIT_ALIASES) for a, (_, law) in ALIASES.items()]
     return spark.createDataFrame(rows, "alias string, law_no string, is_short boolean, is_explicit boolean")
-
-
-def regulation_alias_frame(spark: SparkSession) -> DataFrame:
-    rows = [(a, *V.REGULATIONS[code]) for a, code in V.REGULATION_ALIASES.items()]
-    return spark.createDataFrame(rows, "alias string, law_no string, regulation_name string")

@@ -466,3 +466,11 @@ DECISION_PAGE = {
 }
 DECISION_SHORT_TEXT = 1000
 DECISION_MIN_TEXT = 100
+
+# What an article title may hold at most, and may not end or begin with.
+TITLE_LIMITS = {"chars": 120, "digits": 6, "words": 12, "closing": (".", ";", ":"), "opening": "("}
+# Patterns of headers inside running text: the place before a header, a line that begins with one, and
+# a last sentence end with what follows it.
+INLINE_HEADER = r"(?U)(?<!\n)(?<!Ek )(?<!Geçici )(?=\b(?:(?:Ek|Geçici)\s+)?Madde\s+\d)"
+LINE_HEADER = r"(?iU)^(?:(?:ek|geçici)\s+)?madde\s+\d+"
+SENTENCE_TAIL = r"^(.*[.!?])\s+([A-ZÇĞİÖŞÜ][^.]*)$"

@@ -78,10 +78,13 @@ def built_once(name: str, build: Callable[[], Column]) -> Column:
     Expressions are immutable and refer to columns by name, so one can serve many plans of
     the same JVM.
     """
-    key = (name, id(SparkContext._jvm))
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+    jvm = SparkContext._jvm
+    if _BUILT.get("") is not jvm:  # expressions of an ended JVM are of no use
+        _BUILT.clear()
+        _BUILT[""] = jvm
+    if name not in _BUILT:
+        _BUILT[name] = build()
+    return _BUILT[name]
 
 
 def strip(c: Column) -> Column:

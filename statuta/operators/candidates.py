@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.aliases import detect_law
 from ..functions.refs import mentions_previous_article
-from ..functions.text import article_number_key, literal_map
+from ..functions.text import literal_map
 from .ordered import top_per_key
 
 DEFAULTS = {
@@ -60,7 +60,7 @@ def union_candidates(*parts: DataFrame) -> DataFrame:
     """Lists one behind the other: order within a list kept, later lists come later."""
     out = None
     for stage, part in enumerate(parts):
-        placed = part.withColumn("ord", F.lit(stage).cast("bigint") * 1_000_000 + F.col("ord"))
+        placed = part.withColumn("stage", F.lit(stage)).withColumn("nth", F.lit(0))
         out = placed if out is None else out.unionByName(placed, allowMissingColumns=True)
     return out
 
@@ -70,18 +70,24 @@ def keep_first(df: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
     return top_per_key(df, key, [F.col(order)], 1, "_rn").drop("_rn")
 
 
+def _place(df: DataFrame) -> list[Column]:
+    """Order of a list, or of lists one behind the other."""
+    return [F.col(c) for c in ("stage", "ord", "nth") if c in df.columns]
+
+
 def merge_candidates(df: DataFrame, limit: int, key: str = "doc_key") -> DataFrame:
     """Best version per document, ordered by strength then first sight, cut at ``limit``.
 
     ``ord`` becomes the new position in the list.
     """
     same = Window.partitionBy("q_id", key)
-    strongest = same.orderBy(F.desc("_prio"), F.desc("_sim"), F.asc("ord"))
+    place = F.struct(*_place(df))
+    strongest = same.orderBy(F.desc("_prio"), F.desc("_sim"), place.asc())
     listed = Window.partitionBy("q_id").orderBy(F.desc("_prio"), F.desc("_sim"), F.asc("_first"))
-    best = (_strength(df).withColumn("_first", F.min("ord").over(same))
+    best = (_strength(df).withColumn("_first", F.min(place).over(same))
             .withColumn("_rn", F.row_number().over(strongest)).where(F.col("_rn") == 1))
     return (best.withColumn("ord", F.row_number().over(listed).cast("bigint"))
-            .where(F.col("ord") <= limit).drop("_prio", "_sim", "_first", "_rn"))
+            .where(F.col("ord") <= limit).drop("_prio", "_sim", "_first", "_rn", "stage", "nth"))
 
 
 # --- ranking -------------------------------------------------------------------
@@ -131,13 +137,13 @@ def rank_candidates(df: DataFrame, context: str = "context", limit: int | None =
 
 # --- expansion -------------------------------------------------------------------
 
-def article_links(articles: DataFrame, edges: DataFrame | None) -> DataFrame:
+def article_links(articles: DataFrame, edges: DataFrame | None, present: int = V.PREVIOUS_LIMIT, extra: int = V.GRAPH_EXTRA) -> DataFrame:
     """Slim lookup row per article: its id and key, its previous article where the body
     mentions one, and the articles it cites.
 
-    The cited list keeps the first ``FINAL_LIMIT`` distinct existing targets.  That is
-    exact: an expansion takes at most ``GRAPH_EXTRA`` new documents and can meet at most
-    ``PREVIOUS_LIMIT`` documents already present, together no more than that.
+    The cited list keeps the first ``present + extra`` distinct existing targets.  That is exact for an
+    expansion that takes at most ``extra`` new documents and meets at most ``present`` ones already there;
+    ``expand_cited`` refuses larger limits than its list was made for.
     """
     slim = articles.select(
         "id", "source_type", "law_no", "regulation_name", "article_type", "article_no",
@@ -158,7 +164,7 @@ def article_links(articles: DataFrame, edges: DataFrame | None) -> DataFrame:
                  .agg(F.min("ord").alias("ord"))
                  .join(targets, ["target_law_no", "target_article_type", "target_article_no"])
                  .join(sources, ["source_law_no", "source_article_type", "source_article_no"]))
-        first = top_per_key(links, ["id"], [F.col("ord")], V.FINAL_LIMIT, "_n")
+        first = top_per_key(links, ["id"], [F.col("ord")], present + extra, "_n")
         cited = first.groupBy("id").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("_n", "target"))), lambda x: x["target"]).alias("cited"))
     linked = slim.join(cited, "id", "left")
@@ -199,13 +205,12 @@ def _extras(df: DataFrame, extras: Column, source: str, limit: int) -> DataFrame
         F.when(extra, F.lit(source)).otherwise(F.col("retrieval_source")).alias("retrieval_source"),
         F.when(~extra, F.col("similarity")).alias("similarity"),
         F.when(extra, F.col("_x.doc.cited")).otherwise(F.col("cited")).alias("cited"),
-        F.col("_x.stage").alias("_stage"),
-        (F.col("_x.stage") * F.lit(1_000_000) + F.col("ord") * 1_000 + F.col("_x.nth")).alias("ord"))
-    fresh = Window.partitionBy("q_id", "id").orderBy("ord")
-    nth = Window.partitionBy("q_id", "_stage").orderBy("ord")
+        F.col("_x.stage").alias("stage"), "ord", F.col("_x.nth").alias("nth"))
+    fresh = Window.partitionBy("q_id", "id").orderBy("stage", "ord", "nth")
+    nth = Window.partitionBy("q_id", "stage").orderBy("ord", "nth")
     return (flat.withColumn("_rn", F.row_number().over(fresh)).where(F.col("_rn") == 1)
             .withColumn("_nth", F.row_number().over(nth))
-            .where((F.col("_stage") == 0) | (F.col("_nth") <= limit)).drop("_rn", "_nth", "_stage"))
+            .where((F.col("stage") == 0) | (F.col("_nth") <= limit)).drop("_rn", "_nth"))
 
 
 def expand_previous(df: DataFrame, limit: int = V.PREVIOUS_EXTRA) -> DataFrame:
@@ -214,13 +219,10 @@ def expand_previous(df: DataFrame, limit: int = V.PREVIOUS_EXTRA) -> DataFrame:
     return _extras(df, previous, "previous_article_ref", limit)
 
 
-def expand_cited(df: DataFrame, limit: int = V.GRAPH_EXTRA) -> DataFrame:
-    """Add the articles that candidates cite, one hop."""
+def expand_cited(df: DataFrame, limit: int = V.GRAPH_EXTRA, extra: int = V.GRAPH_EXTRA) -> DataFrame:
+    """Add the articles that candidates cite, one hop; ``extra`` is what the lists of ``article_links`` were made for."""
+    if limit > extra:
+        raise ValueError(f"the cited lists hold {extra} new articles, not {limit}; pass extra to article_links")
     docs = F.transform("cited", lambda d: d.withField("cited", F.lit(None).cast(_DOCS)))
     return _extras(df, docs, "reference_graph", limit)
 
-
-def source_order(df: DataFrame) -> Column:
-    """Natural order of articles, used wherever the store gave none."""
-    key = article_number_key(F.col("article_no"))
-    return F.struct("law_no", "article_type", key.alias("no"))

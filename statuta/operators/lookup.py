@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import case_numbers
-from ..session import spread
 from .ordered import explode_rows, top_per_key
 
 
@@ -44,66 +43,68 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
 
 
-def substring_matches(patterns: DataFrame, texts: DataFrame, pattern: str, text: str,
-                      pattern_id: str, text_id: str) -> DataFrame:
-    """All (pattern, text) pairs where the text contains the pattern, ignoring case.
+GRAM = 3
+
+
+def _grams(chars: Column, n: int) -> Column:
+    """Distinct runs of n characters, from the array of characters: at most as many as there are."""
+    runs = F.transform(chars, lambda x, i: F.concat(x, *[F.get(chars, i + k) for k in range(1, n)]))
+    return F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))
+
 
-    No nested loop: a text that contains the pattern must contain
+def _pairs(words: Column) -> Column:
+    return F.array_distinct(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
+                                        lambda x, i: F.concat_ws(" ", x, F.get(words, i + 1))))
 
-    * the pattern's inner neighbouring words, when it has four words or more,
-    * its inner word, when it has three,
-    * a word ending in its first word, when it has two,
-    * a word having it as a substring, when it has one,
-    * its first character, when it has no word.
 
-    One such key per pattern is joined with the keys of the text, and the few pairs left
-    are checked with ``contains``.  Equal patterns are matched once.
+def _tagged(prefix: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(prefix), k))
+
+
+def pattern_hits(patterns: DataFrame, texts: DataFrame, pattern: str, text: str, text_id: str) -> DataFrame:
+    """``_p`` (a distinct pattern in lower case) and ``_tid``: the texts that contain it.
+
+    No nested loop: a text that contains the pattern must contain its longest pair of inner neighbouring
+    words (four words or more), its inner word (three), or else its middle run of three characters, fewer
+    where it is shorter.  A text has no more keys of a kind than characters.  One key per pattern is joined
+    with the keys of the texts, and what is left is checked with ``contains``.
     """
-    lowered = F.lower(F.col(pattern))
-    distinct = patterns.where(F.length(lowered) > 0).select(lowered.alias("_p")).distinct()
+    distinct = patterns.select(F.lower(F.col(pattern)).alias("_p")).where(F.length("_p") > 0).distinct()
     w = distinct.withColumn("_w", _words(F.col("_p"))).withColumn("_n", F.size("_w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.col("_n") - 3), lambda i: F.concat_ws(
-        " ", F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1)))
-    longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.length(p).alias("n"), p.alias("k"))))["k"]
-    keyed = w.select("_p", F.when(F.col("_n") >= 4, F.concat(F.lit("2:"), longest))
-                     .when(F.col("_n") == 3, F.concat(F.lit("1:"), F.get("_w", F.lit(1))))
-                     .when(F.col("_n") == 2, F.concat(F.lit("e:"), F.get("_w", F.lit(0))))
-                     .when(F.col("_n") == 1, F.concat(F.lit("s:"), F.get("_w", F.lit(0))))
-                     .otherwise(F.concat(F.lit("c:"), F.substring("_p", 1, 1))).alias("_key"))
-    body = spread(texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text)).alias("_t")))
-    held = body.withColumn("_w", _words(F.col("_t"))).select("_tid", F.col("_w"), F.col("_t"))
-    unique = F.array_distinct("_w")
-    chars = F.array_distinct(F.split(F.regexp_replace("_t", _WORD, ""), ""))
-    endings = lambda x: F.transform(
-        F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i))
-    inner = lambda x: F.flatten(F.transform(endings(x), lambda e: F.transform(
-        F.sequence(F.lit(1), F.length(e)), lambda n: F.substring(e, F.lit(1), n))))
-    tag = lambda prefix, arr: F.transform(arr, lambda k: F.concat(F.lit(prefix), k))
-    text_keys = {
-        "2:": F.array_distinct(F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))),
-                                           lambda x, i: F.concat_ws(" ", x, F.get("_w", i + 1)))),
-        "1:": unique,
-        "e:": F.array_distinct(F.flatten(F.transform(unique, endings))),
-        "s:": F.array_distinct(F.flatten(F.transform(unique, inner))),
-        "c:": F.filter(chars, lambda c: c != ""),
-    }
-    # At most five rows: the kinds of key in use decide what the texts have to emit.
-    kinds = sorted(r[0] for r in keyed.select(F.substring("_key", 1, 2)).distinct().collect())
-    emitted = [tag(k, text_keys[k]) for k in kinds] or [F.array().cast("array<string>")]
-    found = explode_rows(held, F.concat(*emitted), "_n", "_key").select("_tid", "_key").join(
-        keyed, "_key").select("_tid", "_p")
-    checked = (found.join(body, "_tid").where(F.contains("_t", "_p")).select("_p", "_tid"))
-    return (patterns.select(F.col(pattern_id), lowered.alias("_p")).join(checked, "_p")
+    inner = _pairs(F.slice("_w", F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))))
+    longest = F.array_max(F.transform(inner, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    size = F.least(F.length("_p"), F.lit(GRAM))
+    middle = F.substring(F.col("_p"), F.floor((F.length("_p") - size) / 2).cast("int") + 1, size)
+    keyed = w.select("_p", F.when(F.col("_n") >= 4, F.concat(F.lit("w2:"), longest)).when(
+        F.col("_n") == 3, F.concat(F.lit("w1:"), F.get("_w", F.lit(1)))).otherwise(
+        F.concat(F.lit("g"), size.cast("string"), F.lit(":"), middle)).alias("_key"))
+    body = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text)).alias("_t"))
+    # words and characters are columns of their own: inside a lambda an expression is made anew for every element
+    held = body.select("_tid", _words(F.col("_t")).alias("_w"), F.filter(F.split("_t", ""), lambda x: x != "").alias("_ch"))
+    emitted = F.concat(_tagged("w2:", _pairs(F.col("_w"))), _tagged("w1:", F.array_distinct("_w")),
+                       *[_tagged(f"g{n}:", _grams(F.col("_ch"), n)) for n in range(1, GRAM + 1)])
+    found = explode_rows(held, emitted, "_n", "_key").select("_tid", "_key").join(keyed, "_key")
+    return found.select("_tid", "_p").join(body, "_tid").where(F.contains("_t", "_p")).select("_p", "_tid")
+
+
+def substring_matches(patterns: DataFrame, texts: DataFrame, pattern: str, text: str,
+                      pattern_id: str, text_id: str) -> DataFrame:
+    """All (pattern, text) pairs where the text contains the pattern, ignoring case; equal patterns are matched once."""
+    hits = pattern_hits(patterns, texts, pattern, text, text_id)
+    return (patterns.select(F.col(pattern_id), F.lower(F.col(pattern)).alias("_p")).join(hits, "_p")
             .select(pattern_id, F.col("_tid").alias(text_id)))
 
 
 def keyword_search(questions: DataFrame, articles: DataFrame, count: int, order: list[Column],
                    question: str = "question") -> DataFrame:
-    """Articles containing the whole question, the first ``count`` per question by ``order``."""
-    hits = substring_matches(questions, articles, question, "text", "q_id", "id")
+    """Articles containing the whole question, the first ``count`` per question by ``order``.
+
+    The cut is made once per distinct question, before its hits meet the question ids.
+    """
+    hits = pattern_hits(questions, articles, question, "text", "id").withColumnRenamed("_tid", "id")
     placed = hits.join(articles.drop("text"), "id")
-    return (top_per_key(placed, ["q_id"], order, count, "ord")
-            .withColumn("ord", F.col("ord").cast("bigint"))
+    best = top_per_key(placed, ["_p"], order, count, "ord").withColumn("ord", F.col("ord").cast("bigint"))
+    return (questions.select("q_id", F.lower(F.col(question)).alias("_p")).join(best, "_p").drop("_p")
             .withColumn("retrieval_source", F.lit("keyword")))
 
 
@@ -129,55 +130,72 @@ def case_number_search(questions: DataFrame, decisions: DataFrame, count: int,
 
     keys = F.array_distinct(F.flatten(F.transform(F.array_distinct(numbers), prefixes)))
     held = explode_rows(decisions.select("id", "case_no", "decision_no", "text"), keys, "_n", "number").select("id", "number")
-    hits = asked.join(held, "number").groupBy("q_id", "id").agg(F.min("nth").alias("nth"))
+    # a number's first decisions are found once; a question needs no more than that of each of its numbers
+    wanted = asked.select("number").distinct()
+    first = top_per_key(held.join(wanted, "number"), ["number"], [F.col("id")], count, "_nth").drop("_nth")
+    hits = asked.join(first, "number").groupBy("q_id", "id").agg(F.min("nth").alias("nth"))
     best = top_per_key(hits, ["q_id"], [F.col("nth"), F.col("id")], count)
     return best.drop("nth").join(decisions, "id")
 
 
 # --- vector search -----------------------------------------------------------------
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest scores of each row, in order; of equal scores the one further left."""
+    if scores.shape[1] <= k:
+        return np.argsort(-scores, axis=1, kind="stable")
+    some = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    some = np.take_along_axis(some, np.lexsort((some, -np.take_along_axis(scores, some, 1)), axis=1), 1)
+    least = np.take_along_axis(scores, some[:, -1:], 1)
+    for row in np.flatnonzero((scores >= least).sum(axis=1) > k):  # a tie at the border
+        some[row] = np.argsort(-scores[row], kind="stable")[:k]
+    return some
+
+
 def _block_top_k(k: int):
-    """Top-k of one block of queries against one block of vectors."""
-    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        columns = ["q_id", "v_id", "similarity"]
-        if queries.empty or vectors.empty:
-            return pd.DataFrame({"q_id": pd.Series(dtype="int64"), "v_id": pd.Series(dtype="int64"),
-                                 "similarity": pd.Series(dtype="float64")})
-        ids = vectors["v_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        v = np.stack(vectors["vector"].to_numpy()[order]).astype(np.float64)
-        ids = ids[order]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        parts = []
-        q_ids = queries["q_id"].to_numpy()
-        q_all = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        q_all /= np.maximum(np.linalg.norm(q_all, axis=1, keepdims=True), 1e-300)
-        for at in range(0, len(q_all), 512):
-            scores = q_all[at:at + 512] @ v.T
-            # Equal scores keep the smaller id: ids are sorted and the sort is stable.
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(q_ids[at:at + 512], best.shape[1])
-            parts.append(pd.DataFrame({"q_id": rows, "v_id": ids[best].ravel(),
-                                       "similarity": np.take_along_axis(scores, best, 1).ravel()}))
-        return pd.concat(parts)[columns]
+    """Top-k of streamed queries against the block of vectors that comes before them."""
+    def run(batches):
+        block, held, ids, matrix = None, [], None, None
+        for pdf in batches:
+            for (b, is_query), part in pdf.groupby(["block", "is_query"], sort=False):
+                if b != block:
+                    block, held, ids, matrix = b, [], None, None
+                if not is_query:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if ids is None:
+                    own = pd.concat(held).sort_values("id", ignore_index=True)
+                    ids, matrix = own["id"].to_numpy(), _unit(own["vector"])
+                for at in range(0, len(part), 512):
+                    own = part.iloc[at:at + 512]
+                    scores = _unit(own["vector"]) @ matrix.T
+                    best = _best(scores, k)
+                    yield pd.DataFrame({"q_id": np.repeat(own["id"].to_numpy(), best.shape[1]), "v_id": ids[best].ravel(),
+                                        "similarity": np.take_along_axis(scores, best, 1).ravel()})
     return run
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 4_096,
-                 vector_block: int = 32_768) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_blocks: int | None = None) -> DataFrame:
     """Exact cosine top-k.  ``queries(q_id, vector)``, ``vectors(v_id, vector)``.
 
-    A grid of blocks: each task multiplies one block of queries with one block of vectors
-    and keeps k rows per query, so neither all pairs nor a whole side is ever held.
+    Vectors are dealt out once, by hash into ``vector_blocks`` blocks (as many as there are shuffle
+    partitions, if not given; a block must fit a task).  The queries, the small side, go to every block
+    and are streamed past it; k rows per query leave a block.
     """
-    nq = max(1, -(-queries.count() // query_block))
-    nv = max(1, -(-vectors.count() // vector_block))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("q_id", "vector", block("q_id", nq).alias("qb"), every(nv).alias("vb"))
-    right = vectors.select("v_id", "vector", block("v_id", nv).alias("vb"), every(nq).alias("qb"))
-    partial = (left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-               .applyInPandas(_block_top_k(k), "q_id bigint, v_id bigint, similarity double"))
+    blocks = vector_blocks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.select(F.pmod(F.xxhash64("v_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("is_query"),
+                           F.col("v_id").cast("bigint").alias("id"), "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"),
+                           F.col("q_id").cast("bigint").alias("id"), "vector")
+    rows = dealt.unionByName(asked).where(F.col("vector").isNotNull()).repartition(blocks, "block").sortWithinPartitions("block", "is_query")
+    partial = rows.mapInPandas(_block_top_k(k), "q_id bigint, v_id bigint, similarity double")
     return top_per_key(partial, ["q_id"], [F.desc("similarity"), F.asc("v_id")], k)
 
 

@@ -17,6 +17,14 @@ def _block(position: str, size: int) -> Column:
     return F.floor(F.col(position) / size)
 
 
+def _with_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their block's summary; null keys and positions meet null ones."""
+    names = [*keys, "_block"]
+    right = summary.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(names)], *[c for c in summary.columns if c not in names])
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(names)]
+    return rows.join(right, same).drop(*[f"_s{i}" for i in range(len(names))])
+
+
 def running_count(df: DataFrame, keys: list[str], position: str, flag: Column, out: str,
                   block: int = BLOCK) -> DataFrame:
     """Count of rows so far (inclusive, by position within keys) where ``flag`` holds."""
@@ -27,7 +35,7 @@ def running_count(df: DataFrame, keys: list[str], position: str, flag: Column, o
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*keys, "_block", F.coalesce(
         F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    return (counted.join(summary, [*keys, "_block"])
+    return (_with_summary(counted, summary, keys)
             .withColumn(out, F.col("_before") + F.col("_inner"))
             .drop("_block", "_flag", "_inner", "_before"))
 
@@ -46,8 +54,7 @@ def neighbour(df: DataFrame, keys: list[str], position: str, value: Column, out:
     block_order = F.col("_block").asc() if offset < 0 else F.col("_block").desc()
     summary = summary.select(*keys, "_block", F.lag("_edge").over(
         Window.partitionBy(*keys).orderBy(block_order)).alias("_outer"))
-    return (marked.withColumn("_near", F.lag("_value").over(inner))
-            .join(summary, [*keys, "_block"])
+    return (_with_summary(marked.withColumn("_near", F.lag("_value").over(inner)), summary, keys)
             .withColumn(out, F.coalesce("_near", "_outer"))
             .drop("_block", "_value", "_near", "_outer"))
 

@@ -33,9 +33,10 @@ def references(canonical: str) -> Column:
 
 
 def per_distinct(df: DataFrame, column: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply ``parse`` to the distinct values of a text column and join its columns back."""
-    distinct = df.select(column).distinct()
-    return df.join(parse(distinct), column, "left")
+    """Apply ``parse`` to the distinct values of a text column and join its columns back; null is a value."""
+    parsed = parse(df.select(column).distinct())
+    right = parsed.withColumnRenamed(column, "_value")
+    return df.join(right, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def with_normalised(df: DataFrame, question: str, out: str = "normalised") -> DataFrame:

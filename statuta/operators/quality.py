@@ -260,7 +260,8 @@ def decision_statistics(decisions: DataFrame, required: list[str]) -> DataFrame:
         *[F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias(f"missing_{c}") for c in required])
 
 
-def random_sample(df: DataFrame, n: int = 5, seed: int = 7) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_sample(df: DataFrame, n: int = 5, seed: int = 7, key: str = "id") -> DataFrame:
+    """n rows in the order of a hash of seed and key: the same ones in every run and on every layout."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 

@@ -24,8 +24,8 @@ def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> D
     """
     raw = F.col("question")
     flagged = per_distinct(questions, "question", lambda d: d
-                           .withColumn("case_query", is_case_number_query(raw))
-                           .withColumn("generic_query", is_generic_decision_query(raw))
+                           .withColumn("case_query", F.coalesce(is_case_number_query(raw), F.lit(False)))
+                           .withColumn("generic_query", F.coalesce(is_generic_decision_query(raw), F.lit(False)))
                            .withColumn("gated", F.col("case_query") | F.col("generic_query"))
                            .withColumn("normalised", F.when(F.col("gated"), F.coalesce(raw, F.lit(""))).otherwise(normalised("question"))))
     if turns is None:
@@ -37,7 +37,7 @@ def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> D
         # The rewritten question depends on the conversation; stored once, parsed once.
         out = cut_lineage(out)
     parsed = per_distinct(out, "resolved", lambda d: parse_resolved(d, "resolved").withColumn(
-        "wants_decisions", wants_decisions(F.col("resolved"))))
+        "wants_decisions", F.coalesce(wants_decisions(F.col("resolved")), F.lit(False))))
     none = F.array().cast("array<struct<law_no:string,article_no:string,article_type:string>>")
     return (parsed.withColumn("refs", F.when(F.col("gated"), none).otherwise(F.col("refs")))
             .withColumn("decision_intent", F.col("gated") | F.col("wants_decisions")))

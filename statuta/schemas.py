@@ -3,16 +3,3 @@
 # Field names of the article files written by the earlier tool chain.
 ARTICLE_JSON = ("kanun_no string, kanun_adi string, madde_no string, madde_tipi string, icerik string, "
                 "bagli_kanun_no string, yonetmelik_adi string, source_type string")
-ARTICLES = ("id bigint, source_type string, law_no string, law_name string, regulation_name string, "
-            "article_type string, article_no string, text string, "
-            "paragraphs array<struct<no:string,text:string,items:map<string,string>>>, "
-            "content_hash string, source_file string, last_embedded_at timestamp")
-CHUNKS = ("article_id bigint, law_no string, article_type string, article_no string, chunk_index int, "
-          "chunk_text string, chunk_hash string, embedding array<float>, embedding_model string, "
-          "embedding_dim int")
-DECISIONS = ("id bigint, chamber string, case_no string, decision_no string, text string, "
-             "application_no string, title string, subject string, kind string, section string, url string, "
-             "application_date date, decision_date date, embedding array<float>")
-EVAL_CASES = ("id string, question string, history array<struct<role:string,content:string>>, "
-              "expected struct<resolved_question:string,karar_retrieval_intent:boolean,"
-              "top_docs:array<struct<kanun_no:string,madde_no:string,madde_tipi:string>>>")

@@ -43,17 +43,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input over the cores when it is too small to be split by the scan.
-
-    Parsing is heavy per byte: a file of a few megabytes is one scan partition and would keep
-    one core busy for long.  Large inputs fill the cores by themselves and are left alone, so
-    no shuffle is added where it would cost.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < cores * split else df

@@ -38,7 +38,7 @@ def read_statute_lines(spark: SparkSession, path: str) -> DataFrame:
 def law_names(lines: DataFrame) -> DataFrame:
     """``file, law_no, law_name``; an unknown law takes its name from the folder."""
     known = literal_map(V.LAW_NAMES)
-    rest = F.array_join(F.slice(F.split("folder", "_"), 2, 100), " ")
+    rest = F.array_join(F.slice(F.split("folder", "_"), F.lit(2), F.size(F.split("folder", "_"))), " ")
     return lines.select("file", "folder", "law_no").distinct().select(
         "file", "law_no", F.coalesce(known[F.col("law_no")], rest).alias("law_name"))
 

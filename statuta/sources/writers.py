@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_preview(articles: DataFrame, path: str, fmt: str = "json") -> None:
@@ -10,10 +11,11 @@ def write_preview(articles: DataFrame, path: str, fmt: str = "json") -> None:
     articles.write.mode("overwrite").format(fmt).save(path)
 
 
-def replace_laws(df: DataFrame, path: str) -> None:
+def replace_laws(df: DataFrame, path: str, key: str = "text", salts: int = 8) -> None:
     """Replace exactly the laws present in ``df``; other partitions stay as they are.
 
-    Rows are spread by law and a hash, so one big law is written by many tasks.
+    Rows are dealt by law and a salt of the key: a law has at most ``salts`` files, and one big law is
+    written by as many tasks.
     """
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.repartition("law_no", F.pmod(F.xxhash64(key), F.lit(salts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("law_no").parquet(path))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.operators import lookup, ordered
 from statuta.operators.candidates import article_links, expand_cited, expand_previous, merge_candidates
+from statuta.plans.retrieval import resolve_questions
 
 
 def _sequence(spark, n=200):
@@ -40,7 +41,7 @@ def test_vector_grid_equals_full_product(spark):
     q, v = rng.normal(size=(23, 5)), rng.normal(size=(71, 5))
     qdf = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "q_id bigint, vector array<double>")
     vdf = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "v_id bigint, vector array<double>")
-    got = lookup.vector_top_k(qdf, vdf, 4, query_block=6, vector_block=10).collect()
+    got = lookup.vector_top_k(qdf, vdf, 4, vector_blocks=5).collect()
     sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
     best = {(i, int(j)) for i in range(len(q)) for j in np.argsort(-sims[i])[:4]}
     assert {(r.q_id, r.v_id) for r in got} == best
@@ -81,3 +82,32 @@ def test_expansion_adds_new_documents_only(spark):
     after = merge_candidates(expand_cited(before), 18, "id").orderBy("ord").collect()
     assert [(r.id, r.retrieval_source) for r in after] == [
         (3, "direct_article_lookup"), (5, "direct_article_lookup"), (6, "reference_graph"), (2, "previous_article_ref")]
+
+
+def test_rows_without_law_keep_their_place(spark):
+    rows = spark.createDataFrame([(None, 1, True), (None, 2, False), ("a", 1, False), ("a", None, True)], "law string, pos int, flag boolean")
+    counted = ordered.running_count(rows, ["law"], "pos", F.col("flag"), "n")
+    assert sorted((str(r.law), str(r.pos), r.n) for r in counted.collect()) == [("None", "1", 1), ("None", "2", 1), ("a", "1", 1), ("a", "None", 1)]
+    near = ordered.neighbour(rows, ["law"], "pos", F.col("flag"), "before", -1)
+    assert near.count() == 4
+
+
+def test_a_null_question_has_flags(spark):
+    rows = spark.createDataFrame([(1, None), (2, "TBK 5")], "q_id long, question string")
+    got = {r.q_id: r for r in resolve_questions(rows).select("q_id", "gated", "decision_intent").collect()}
+    assert (got[1].gated, got[1].decision_intent) == (False, False) and got[2].gated is False
+
+
+def test_keyword_search_with_a_very_long_token(spark):
+    long = "ab" * 50_000
+    texts = spark.createDataFrame([(1, "karar " + long), (2, long), (3, "bir karar daha")], "id long, text string")
+    asked = spark.createDataFrame([(1, "karar"), (2, "k"), (3, "ba" * 100), (4, "a karar"), (5, "KARAR")], "q_id long, question string")
+    got = sorted(map(tuple, lookup.keyword_search(asked, texts, 2, [F.col("id")]).select("q_id", "id", "ord").collect()))
+    assert got == [(1, 1, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2), (5, 1, 1), (5, 3, 2)]
+
+
+def test_equal_similarities_keep_the_smaller_id(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "v_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "q_id long, vector array<double>")
+    got = lookup.vector_top_k(asked, vectors, 3, vector_blocks=4).orderBy("rank").collect()
+    assert [r.v_id for r in got] == [0, 2, 4]

@@ -50,6 +50,9 @@ def test_replacing_one_law_leaves_the_others(spark, tmp_path):
     writers.replace_laws(rows, path)
     writers.replace_laws(spark.createDataFrame([("2", "c")], rows.schema), path)
     assert sorted((str(r.law_no), r.text) for r in spark.read.parquet(path).collect()) == [("1", "a"), ("2", "c")]
+    many = spark.createDataFrame([("3", f"t{i}") for i in range(500)], rows.schema).repartition(7)
+    writers.replace_laws(many, path, salts=2)
+    assert len(list((tmp_path / "articles" / "law_no=3").glob("*.parquet"))) <= 2
     plan = readers.read_law(spark, path, "1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(law_no" in plan
 
