@@ -257,10 +257,10 @@ def _(spark, sf):
 
 
 @register("t06_candidate_union", cte("cands") + """
-SELECT q_id, id, ord, retrieval_source FROM cands UNION ALL SELECT q_id, id, 1000000 + ord, 'keyword' FROM cands""")
+SELECT q_id, id, CAST(0 AS BIGINT) AS stage, ord, retrieval_source FROM cands UNION ALL SELECT q_id, id, 1, ord, 'keyword' FROM cands""")
 def _(spark, sf):
     rows = _cands(spark, sf).select("q_id", "id", "ord", "retrieval_source")
-    return C.union_candidates(rows, rows.withColumn("retrieval_source", F.lit("keyword")))
+    return C.union_candidates(rows, rows.withColumn("retrieval_source", F.lit("keyword"))).select("q_id", "id", _big("stage"), "ord", "retrieval_source")
 
 
 # --- expansion and the whole result ------------------------------------------------

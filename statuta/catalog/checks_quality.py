@@ -61,9 +61,8 @@ def _(spark, sf):
 
 # Expected numbers of the real laws against derived statutes.
 _SPEC = " UNION ALL ".join(
-    f"SELECT '{law}' AS law_no, '{kind}' AS article_type, " + (
-        f"CAST(i AS VARCHAR) AS article_no FROM range({item.split('-')[0]}, {int(item.split('-')[1]) + 1}) r(i)" if "-" in item else f"'{item}' AS article_no")
-    for (law, kind), items in V.EXPECTED_NUMBERS.items() for item in items.split())
+    f"SELECT '{law}' AS law_no, '{kind}' AS article_type, " + form for law, kind, first, last, extras in V.EXPECTED_NUMBERS
+    for form in [f"CAST(i AS VARCHAR) AS article_no FROM range({first}, {last + 1}) r(i)", *[f"'{x}' AS article_no" for x in extras]])
 
 
 @register("t02_missing_statute_articles", cte("statutes") + f""", ex AS ({_SPEC}) SELECT DISTINCT ex.* FROM ex

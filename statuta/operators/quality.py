@@ -17,14 +17,12 @@ from .ordered import neighbour, top_per_key
 
 # --- expected numbers ----------------------------------------------------------
 
-def expected_numbers(spark: SparkSession, spec: dict[tuple[str, str], str] = V.EXPECTED_NUMBERS) -> DataFrame:
-    """Expected article numbers, expanded from ranges and single extras."""
+def expected_numbers(spark: SparkSession, spec: list[tuple] = V.EXPECTED_NUMBERS) -> DataFrame:
+    """Expected article numbers, from rows of law, type, first and last number and lettered numbers."""
     rows = []
-    for (law, kind), items in spec.items():
-        for item in items.split():
-            first, _, last = item.partition("-")
-            rows.append((law, kind, item if not last else None, int(first) if last else None,
-                         int(last) if last else None))
+    for law, kind, first, last, extras in spec:
+        rows.append((law, kind, None, first, last))
+        rows += [(law, kind, extra, None, None) for extra in extras]
     raw = spark.createDataFrame(rows, "law_no string, article_type string, single string, lo int, hi int")
     return expand_numbers(raw)
 

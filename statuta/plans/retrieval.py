@@ -11,6 +11,7 @@ from ..functions.refs import extract_requested, extraction_status, resolve_conte
 from ..functions.text import preview
 from ..operators.candidates import (article_links, expand_cited, expand_previous, merge_candidates,
                                     rank_candidates, union_candidates)
+from ..operators.history import clean_history
 from ..operators.lookup import keyword_search, vector_top_k, best_chunk_articles
 from ..operators.ordered import explode_rows
 from ..operators.parsing import last_history_refs, normalised, parse_resolved, per_distinct
@@ -20,7 +21,8 @@ from ..session import cut_lineage
 def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """Normalised and context-resolved question with its references and flags.
 
-    ``questions(q_id, question[, conv_id])``; ``turns(conv_id, turn, text)`` is the history.
+    ``questions(q_id, question[, conv_id])``; ``turns(conv_id, turn, text[, role])`` is the history, of which
+    the last messages count, clipped.
     """
     raw = F.col("question")
     flagged = per_distinct(questions, "question", lambda d: d
@@ -31,7 +33,8 @@ def resolve_questions(questions: DataFrame, turns: DataFrame | None = None) -> D
     if turns is None:
         out = flagged.withColumn("resolved", F.col("normalised"))
     else:
-        out = flagged.join(last_history_refs(turns), "conv_id", "left").withColumn(
+        with_role = turns if "role" in turns.columns else turns.withColumn("role", F.lit("user"))
+        out = flagged.join(last_history_refs(clean_history(with_role)), "conv_id", "left").withColumn(
             "resolved", F.when(F.col("gated"), F.col("normalised")).otherwise(
                 resolve_context(F.col("normalised"), F.col("last_ref")))).drop("last_ref")
         # The rewritten question depends on the conversation; stored once, parsed once.

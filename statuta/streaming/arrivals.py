@@ -19,16 +19,15 @@ def arriving_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_arrivals(spark: SparkSession, path: str, checkpoint: str,
-                  snapshot: Callable[[], tuple[DataFrame, DataFrame]],
+                  snapshot: Callable[[], tuple[DataFrame, ...]],
                   publish: Callable[[dict[str, DataFrame], int], None]) -> DataStreamWriter:
     """Writer that loads every batch of arrived files.
 
-    ``snapshot`` reads the stored articles and chunks; ``publish`` writes the next snapshot.
+    ``snapshot`` reads the stored articles, chunks and, where there are some, edges; ``publish`` writes the next snapshot.
     A replayed batch gives the same snapshot, since loading is keyed by article.
     """
     def load(batch: DataFrame, epoch: int) -> None:
-        articles, chunks = snapshot()
         incoming = parse_laws(batch, law_names(batch)).withColumn("source_type", F.lit("mevzuat"))
-        publish(incremental_load(incoming, articles, chunks), epoch)
+        publish(incremental_load(incoming, *snapshot()), epoch)
 
     return arriving_lines(spark, path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)

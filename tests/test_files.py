@@ -76,6 +76,12 @@ def test_incremental_load_rechunks_only_changes(spark, tmp_path):
     assert {(r.article_type, r.reason) for r in two["changes"].collect()} == {
         ("madde", "same"), ("gecici", "same"), ("ek", "content_changed")}
     assert two["chunks"].count() == one["chunks"].count() == 4
+    # edges of unchanged articles are taken over as they are stored, those of changed ones are read anew
+    old = spark.createDataFrame([("4857", "madde", "1", "x"), ("4857", "ek", "1", "y")], "source_law_no string, source_article_type string, source_article_no string, raw_match string")
+    old = old.select(*[F.col(c) if c in old.columns else F.lit(None).cast(t).alias(c) for c, t in one["edges"].dtypes])
+    three = incremental_load(edited.where("article_type != 'gecici'"), one["articles"], one["chunks"], old)
+    assert [r.raw_match for r in three["edges"].where("raw_match in ('x', 'y')").collect()] == ["x"]
+    assert [r.article_type for r in three["removed"].collect()] == ["gecici"]
 
 
 def test_arriving_files(spark, tmp_path):
