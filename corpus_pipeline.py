@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of passages that stood in an earlier one; texts may become empty."""
-    return _recounted(line_chunks.dedup(docs.select(*COLUMNS)))
+    # n_chars is counted anew; carried along, it would keep both uses of the texts from sharing an exchange
+    return _recounted(line_chunks.dedup(docs.select(*[c for c in COLUMNS if c != "n_chars"]))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
