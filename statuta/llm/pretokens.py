@@ -26,6 +26,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Beyond this code point no letters or numbers are assigned.
+LAST_ASSIGNED = 0x33480
+
+
+@functools.cache
+def newer_letters() -> tuple[list[int], list[int]]:
+    """Letters and numbers that the tokenizers library knows and this Python's Unicode tables do not."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    unknown = "".join(c for c in map(chr, range(0x80, LAST_ASSIGNED)) if unicodedata.category(c) == "Cn")
+    found = [Split(Regex(rf"[^\p{{{kind}}}]+"), "removed").pre_tokenize_str(unknown) for kind in "LN"]
+    return tuple([ord(c) for run, _ in runs for c in run] for runs in found)
+
+
 @functools.cache
 def char_classes() -> np.ndarray:
     """Class of every code point."""
@@ -34,6 +49,8 @@ def char_classes() -> np.ndarray:
     first = np.frombuffer(kinds.encode("ascii"), np.uint8)
     out[first == ord("L")] = LETTER
     out[first == ord("N")] = NUMBER
+    for kind, newer in zip((LETTER, NUMBER), newer_letters(), strict=True):
+        out[newer] = kind
     out[WHITE] = SPACE
     return out
 

@@ -8,6 +8,7 @@ of a prefix is the one token ending there that the token before it would not hav
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,8 +26,25 @@ KEPT_PAIRS = 400_000
 _WHITE = re.compile("[" + "".join(map(chr, P.WHITE)) + "]+")
 
 
+@functools.cache
+def _newer() -> re.Pattern:
+    return re.compile("[" + "".join(map(chr, sorted(itertools.chain(*P.newer_letters())))) + "]" if any(P.newer_letters()) else r"(?!)")
+
+
+@functools.cache
+def _library_steps():
+    from tokenizers import Regex, normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+
+
 def normal(text: str) -> str:
-    """Composed form, white space as blanks, lower case without context."""
+    """Composed form, white space as blanks, lower case without context.
+
+    Texts with letters newer than this Python's Unicode tables are left to the library's own steps.
+    """
+    if not text.isascii() and _newer().search(text):
+        return _library_steps().normalize_str(text)
     text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return _WHITE.sub(" ", text).lower()
 

@@ -98,3 +98,17 @@ def test_empty_tables(empty, paths):
     assert bpe.round_trip(empty, paths["byte_bpe_50k.json"]).collect() == []
     assert token_counts.count_tokens(empty, paths["word_bpe_49k.json"]).collect() == []
     assert token_files.written_and_read(empty, paths["byte_bpe_50k.json"]).collect() == []
+
+
+def test_every_code_point_is_split_as_the_library_does(paths):
+    import pandas as pd
+
+    texts = [f"a{chr(c)}a {chr(c)}{chr(c)} 1{chr(c)}1" for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x31340, 0x31360)]]
+    path = paths["byte_bpe_50k.json"]
+    own = [i.tolist() for _, ids in bpe.encoded(iter([pd.DataFrame({"k": range(len(texts)), "t": texts})]), "k", "t", path) for i in ids]
+    assert own == [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    path = paths["word_bpe_49k.json"]
+    table, tok = token_counts.counter(path), Tokenizer.from_file(path)
+    for text in ("\U00013808\U00013808", "aꟋa", "É́ İ Σ"):
+        assert token_counts.normal(text) == tok.normalizer.normalize_str(text)
+    assert table.longest < 64
