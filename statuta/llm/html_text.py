@@ -31,6 +31,7 @@ ENDED_BY = {
     "th": ({"td", "th", "tr", "tbody", "tfoot", "thead"}, {"table"}), "thead": ({"tbody", "tfoot"}, {"table"}),
     "tbody": ({"tbody", "tfoot"}, {"table"}), "caption": ({"tr", "thead", "tbody", "tfoot", "td", "th"}, {"table"}), "option": ({"option", "optgroup"}, {"select"}),
 }
+ROW_PARENTS = {"table", "thead", "tbody", "tfoot"}
 RAW = {"script", "style"}
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -67,11 +68,15 @@ class TreeBuilder(HTMLParser):
                 del self.open[at:]
             elif self._bounds(tag, own):
                 break
-        if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
+        if tag in ("td", "th", "tr"):
+            self._back_to(ROW_PARENTS if tag == "tr" else {"tr"} | ROW_PARENTS)
+        if tag in ("td", "th") and self.open[-1].tag in ROW_PARENTS:
             self._push(Node("tr", {}))
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        # a form between rows or cells holds nothing, as in the HTML standard
+        between = tag == "form" and self.open[-1].tag in {"tr"} | ROW_PARENTS
+        if tag not in VOID and len(self.open) < MAX_DEPTH and not between:
             self.open.append(node)
 
     def _bounds(self, tag, own):
@@ -84,6 +89,15 @@ class TreeBuilder(HTMLParser):
             return own in ("dl", "td", "th")
         return own in ("table", "td", "th", "caption", "button")
 
+    def _back_to(self, tags):
+        """Ends the elements that stand between a row or cell and the part of the table that it belongs to."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in tags:
+                del self.open[at + 1:]
+                return
+            if self.open[at].tag in ("td", "th", "caption"):
+                return
+
     def _push(self, node):
         self.open[-1].children.append(node)
         self.open.append(node)
@@ -248,21 +262,27 @@ def _span(cell: Node, name: str) -> int:
 
 
 def _table(node: Node) -> list[str]:
-    """Rows on a grid with row and column spans; columns are padded to their widest line."""
-    heads, rows = [], []
+    """Rows on a grid with row and column spans; columns are padded to their widest line.
+
+    What stands in the table or its rows outside of cells and captions goes before the table.
+    """
+    strays, heads, rows = [], [], []
 
     def collect(parent):
         for child in parent.children:
             if isinstance(child, str):
-                if child.strip():
-                    heads.extend(_lines([child]))
+                strays.append(child)
             elif shown(child):
                 if child.tag == "tr":
-                    rows.append([c for c in child.children if not isinstance(c, str) and shown(c) and c.tag in ("td", "th")])
+                    cell = [not isinstance(c, str) and c.tag in ("td", "th") for c in child.children]
+                    rows.append([c for c, own in zip(child.children, cell, strict=True) if own and shown(c)])
+                    strays.extend(c for c, own in zip(child.children, cell, strict=True) if not own)
                 elif child.tag in ("thead", "tbody", "tfoot", "colgroup", "form"):
                     collect(child)
+                elif child.tag == "caption":
+                    heads.extend(_lines(child.children))
                 else:
-                    heads.extend(_lines(child.children if child.tag == "caption" else [child]))
+                    strays.append(child)
 
     collect(node)
     grid: list[dict[int, list[str]]] = []
@@ -281,7 +301,7 @@ def _table(node: Node) -> list[str]:
         grid.append(line)
     used = sorted({c for line in grid for c in line})
     size = {c: max((width(x) for line in grid for x in line.get(c, [])), default=0) for c in used}
-    out = list(heads)
+    out = _lines(strays) + heads
     for line in grid:
         for k in range(max((len(x) for x in line.values()), default=0)):
             cells = [(line.get(c, []) + [""] * (k + 1))[k] for c in used]

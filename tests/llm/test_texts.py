@@ -52,6 +52,15 @@ def test_broken_pages_have_text(page):
     assert isinstance(html_text.text_of(page), str)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<table><tr><form><td>text</td></form></tr></table>", "text"), ("<table><tr><td>a<td>b</tr><form><tr><td>c</form><td>d</table>", "a | b\nc | d"),
+    ("<table><tr><div>text</div></tr></table>", "text"), ("<table><tr>some <b>words</b><td>a</td></tr></table>end", "some words\na\n\nend"),
+    ("<table><caption>Cap</caption><tr><div>x<td>a<td>b</div></table>", "x\nCap\na | b"), ("<table><div>x<tr><td>a</table>", "x\na"),
+    ("<table><tr><td><div>in</div><table><tr>far<td>deep</table></table>", "in\n\nfar\ndeep")])
+def test_all_text_of_rows_is_shown(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_pages_table(spark):
     frame = spark.createDataFrame([(1, None), (2, ""), (2, "<p>a<p>b"), (None, "<p hidden>x")], "page_id long, html string")
     assert sorted(map(repr, map(tuple, html_text.extract(frame).collect()))) == sorted(map(repr, [(1, None, 0, 0), (2, "", 0, 0), (2, "a\n\nb", 4, 3), (None, "", 0, 0)]))
