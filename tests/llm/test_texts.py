@@ -1,8 +1,11 @@
 """Quality rules, page text, toxicity and fingerprints against brute force and small cases."""
 
+import base64
 import collections
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +40,24 @@ def test_symbols_are_rejected_and_prose_stays(spark, paths):
     assert [tuple(r) for r in fertility.keep(frame, paths["piece_bpe_32k.model"]).collect()] == [(1, prose, 5)]
 
 
+def test_junk_without_symbols_is_rejected(spark, paths):
+    """Random letters, consonants, base64 and mojibake go by bands learned from the table; hardly any other text does."""
+    draw = random.Random(5)
+    words = lambda letters: " ".join("".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(300))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    french = docs.filter("lang = 'fr' and length(text) > 2000").orderBy("doc_id").first().text[:2000]
+    junk = [words(string.ascii_lowercase), words("bcdfghjklmnpqrstvwxz"), " ".join(base64.b64encode(draw.randbytes(24)).decode() for _ in range(60)),
+            french.encode().decode("cp1252", "replace").encode().decode("cp1252", "replace")]
+    frame = docs.union(spark.createDataFrame([(-1 - k, t, "en" if k < 3 else "fr") for k, t in enumerate(junk)], docs.schema))
+    got = {r.doc_id: r for r in fertility.measure(frame, paths["piece_bpe_32k.model"]).collect()}
+    assert all(not got[-1 - k].kept and set(got[-1 - k].outside.split(",")) - {"symbol_share"} for k in range(4))
+    assert got[-4].part_share > 0.1  # whole characters are rare in it by the byte-level vocabulary
+    rest = [r for k, r in got.items() if k >= 0 and not r.base_failed and r.symbol_share <= 0.05]
+    assert sum(r.kept for r in rest) >= 0.99 * len(rest)
+    kept = {r.doc_id for r in fertility.keep(frame, paths["piece_bpe_32k.model"]).collect()}
+    assert kept == {k for k, r in got.items() if r.kept}
+
+
 def test_page_text():
     page = """<html><head><title>no</title><style>p{}</style></head><body><h1>Head &amp; line</h1><p>one<p>two  <b>bold</b> <span hidden>no</span>
       <ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul><div style="display: none">no</div><script>var x = "</p>";</script>
