@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, fingerprints, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, fertility, fill_middle, fingerprints, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
 
 Q: dict = {}
 
@@ -69,3 +69,8 @@ def _(spark, sf):
 @register("op4_fingerprints")
 def _(spark, sf):
     return fingerprints.compared(table(spark, sf, "documents"))
+
+
+@register("op11_fill_middle", fill_middle.SQL)
+def _(spark, sf):
+    return fill_middle.digests(table(spark, sf, "documents"))
