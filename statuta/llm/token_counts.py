@@ -28,7 +28,14 @@ _WHITE = re.compile("[" + "".join(map(chr, P.WHITE)) + "]+")
 
 @functools.cache
 def _newer() -> re.Pattern:
-    return re.compile("[" + "".join(map(chr, sorted(itertools.chain(*P.newer_letters())))) + "]" if any(P.newer_letters()) else r"(?!)")
+    """One of the newer letters; ranges, since a class of single characters beyond U+FFFF is tried one by one."""
+    runs: list[list[int]] = []
+    for c in sorted(itertools.chain(*P.newer_letters())):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]" if runs else r"(?!)")
 
 
 @functools.cache
