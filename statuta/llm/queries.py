@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fertility, fill_middle, fingerprints, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe, fertility, fill_middle, fingerprints, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity, whitening
 
 Q: dict = {}
 
@@ -74,3 +75,9 @@ def _(spark, sf):
 @register("op11_fill_middle", fill_middle.SQL)
 def _(spark, sf):
     return fill_middle.digests(table(spark, sf, "documents"))
+
+
+@register("op12_embedding_whitening")
+def _(spark, sf):
+    out = whitening.whitened(table(spark, sf, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
