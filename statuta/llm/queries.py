@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, fill_middle, fingerprints, html_text, line_chunks, mixing, ngram_join, token_counts, token_files, toxicity, whitening
+from . import bpe, fertility, fill_middle, fingerprints, html_text, line_chunks, mixing, ngram_join, simhash, token_counts, token_files, toxicity, whitening
 
 Q: dict = {}
 
@@ -81,3 +81,9 @@ def _(spark, sf):
 def _(spark, sf):
     out = whitening.whitened(table(spark, sf, "embeddings"))
     return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@register("op13_simhash_components")
+def _(spark, sf):
+    out = simhash.near_duplicates(table(spark, sf, "documents"))
+    return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
