@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..operators import candidates as C
-from ..operators import corpus, lookup, parsing
+from ..operators import corpus, keywords, lookup, parsing
 from ..plans import retrieval
 from ..session import cut_lineage
-from .inputs import VIEWS, cte, derived, table
+from .inputs import VIEWS, cte, derived, spread, table
 
 Q: dict = {}
 
@@ -54,8 +54,34 @@ def _(spark, sf):
 
 @register("j04_keyword_matches", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def _(spark, sf):
-    return lookup.substring_matches(table(spark, sf, "benchmark"), table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")),
-                                    "text", "body", "item_id", "doc_id")
+    texts = spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")))
+    return keywords.substring_matches(table(spark, sf, "benchmark"), texts, "text", "body", "item_id", "doc_id")
+
+
+# One word of every passage, over whole documents: short patterns and common runs of characters.
+_ONE_WORD = """w AS (SELECT item_id, string_split(text, ' ')[item_id % 7 + 1] AS word FROM benchmark),
+u AS (SELECT DISTINCT lower(word) AS lw FROM w WHERE length(word) > 0)"""
+
+
+@register("j04_one_word_questions", f"""WITH {_ONE_WORD}, d AS (SELECT doc_id, source, lower(text) AS lt FROM documents),
+hits AS (SELECT lw, doc_id, source FROM u JOIN d ON contains(lt, lw)),
+top AS (SELECT *, row_number() OVER (PARTITION BY lw ORDER BY source, doc_id) AS ord FROM hits QUALIFY ord <= 8)
+SELECT item_id AS q_id, doc_id AS id, CAST(ord AS BIGINT) AS ord FROM w JOIN top ON lw = lower(word)""")
+def _(spark, sf):
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.get(F.split("text", " "), (F.col("item_id") % 7).cast("int")).alias("question"))
+    texts = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source"))
+    return keywords.keyword_search(asked, texts, 8, [F.col("source"), F.col("id")]).select("q_id", "id", "ord")
+
+
+@register("j04_stored_counts", f"""WITH {_ONE_WORD}, d AS (SELECT doc_id, lower(text) AS lt FROM documents)
+SELECT item_id, count(*) AS documents FROM w JOIN d ON length(word) > 0 AND contains(lt, lower(word)) GROUP BY item_id""")
+def _(spark, sf):
+    """The same search over a frequency table that is stored with the corpus."""
+    asked = table(spark, sf, "benchmark").select("item_id", F.get(F.split("text", " "), (F.col("item_id") % 7).cast("int")).alias("question"))
+    texts = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    counts = cut_lineage(keywords.key_counts(texts))
+    hits = keywords.substring_matches(asked, texts, "question", "text", "item_id", "id", counts)
+    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @register("j04_short_keywords", cte("statutes") + """, pat AS (
@@ -70,7 +96,7 @@ def _(spark, sf):
     q = F.get(F.array(*forms), (F.col("p_partkey") % 6).cast("int"))
     asked = table(spark, sf, "part").select(F.col("p_partkey").alias("q_id"), q.alias("question"))
     order = [F.col(c) for c in ("law_no", "article_type", "article_no", "id")]
-    return lookup.keyword_search(asked, derived(spark, sf, "statutes"), V.KEYWORD_COUNT, order).select("q_id", "id", "ord")
+    return keywords.keyword_search(asked, derived(spark, sf, "statutes"), V.KEYWORD_COUNT, order).select("q_id", "id", "ord")
 
 
 _COS = """

@@ -100,6 +100,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to the cores where they come in fewer files than there are cores.
+
+    The given tables are single files of one row group, which one task would read and work on alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _spark_form(sql: str) -> str:
     """A fixed list of values per row is a generator in Spark, not a join."""
     return re.sub(r"CROSS JOIN \(VALUES ([^A]*)\) AS (\w+)\((\w+)\)", lambda m: (
@@ -116,9 +125,7 @@ def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
         if f"FROM {base}" in sql_all:
             table(spark, sf, base).createOrReplaceTempView(base)
     rows = spark.sql((f"WITH {ctes} " if ctes else "") + sql)
-    # a session may ask for its (small) inputs to be dealt out; nothing is done without that
-    parts = spark.conf.get("statuta.input.partitions", None)
-    return rows.repartition(int(parts)) if parts else rows
+    return spread(rows)
 
 
 def cte(*names: str) -> str:

@@ -1,4 +1,4 @@
-"""Equality lookups, keyword search, case-number search and vector search."""
+"""Equality lookups, case-number search and vector search."""
 
 from __future__ import annotations
 
@@ -34,80 +34,6 @@ def by_ids(ids: DataFrame, articles: DataFrame) -> DataFrame:
     return ids.join(articles, "id")
 
 
-# --- keyword search ------------------------------------------------------------
-
-_WORD = r"[\p{L}\p{N}]+"
-
-
-def _words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
-
-
-GRAM = 3
-
-
-def _grams(chars: Column, n: int) -> Column:
-    """Distinct runs of n characters, from the array of characters: at most as many as there are."""
-    runs = F.transform(chars, lambda x, i: F.concat(x, *[F.get(chars, i + k) for k in range(1, n)]))
-    return F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))
-
-
-def _pairs(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-                                        lambda x, i: F.concat_ws(" ", x, F.get(words, i + 1))))
-
-
-def _tagged(prefix: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.concat(F.lit(prefix), k))
-
-
-def pattern_hits(patterns: DataFrame, texts: DataFrame, pattern: str, text: str, text_id: str) -> DataFrame:
-    """``_p`` (a distinct pattern in lower case) and ``_tid``: the texts that contain it.
-
-    No nested loop: a text that contains the pattern must contain its longest pair of inner neighbouring
-    words (four words or more), its inner word (three), or else its middle run of three characters, fewer
-    where it is shorter.  A text has no more keys of a kind than characters.  One key per pattern is joined
-    with the keys of the texts, and what is left is checked with ``contains``.
-    """
-    distinct = patterns.select(F.lower(F.col(pattern)).alias("_p")).where(F.length("_p") > 0).distinct()
-    w = distinct.withColumn("_w", _words(F.col("_p"))).withColumn("_n", F.size("_w"))
-    inner = _pairs(F.slice("_w", F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))))
-    longest = F.array_max(F.transform(inner, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    size = F.least(F.length("_p"), F.lit(GRAM))
-    middle = F.substring(F.col("_p"), F.floor((F.length("_p") - size) / 2).cast("int") + 1, size)
-    keyed = w.select("_p", F.when(F.col("_n") >= 4, F.concat(F.lit("w2:"), longest)).when(
-        F.col("_n") == 3, F.concat(F.lit("w1:"), F.get("_w", F.lit(1)))).otherwise(
-        F.concat(F.lit("g"), size.cast("string"), F.lit(":"), middle)).alias("_key"))
-    body = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text)).alias("_t"))
-    # words and characters are columns of their own: inside a lambda an expression is made anew for every element
-    held = body.select("_tid", _words(F.col("_t")).alias("_w"), F.filter(F.split("_t", ""), lambda x: x != "").alias("_ch"))
-    emitted = F.concat(_tagged("w2:", _pairs(F.col("_w"))), _tagged("w1:", F.array_distinct("_w")),
-                       *[_tagged(f"g{n}:", _grams(F.col("_ch"), n)) for n in range(1, GRAM + 1)])
-    found = explode_rows(held, emitted, "_n", "_key").select("_tid", "_key").join(keyed, "_key")
-    return found.select("_tid", "_p").join(body, "_tid").where(F.contains("_t", "_p")).select("_p", "_tid")
-
-
-def substring_matches(patterns: DataFrame, texts: DataFrame, pattern: str, text: str,
-                      pattern_id: str, text_id: str) -> DataFrame:
-    """All (pattern, text) pairs where the text contains the pattern, ignoring case; equal patterns are matched once."""
-    hits = pattern_hits(patterns, texts, pattern, text, text_id)
-    return (patterns.select(F.col(pattern_id), F.lower(F.col(pattern)).alias("_p")).join(hits, "_p")
-            .select(pattern_id, F.col("_tid").alias(text_id)))
-
-
-def keyword_search(questions: DataFrame, articles: DataFrame, count: int, order: list[Column],
-                   question: str = "question") -> DataFrame:
-    """Articles containing the whole question, the first ``count`` per question by ``order``.
-
-    The cut is made once per distinct question, before its hits meet the question ids.
-    """
-    hits = pattern_hits(questions, articles, question, "text", "id").withColumnRenamed("_tid", "id")
-    placed = hits.join(articles.drop("text"), "id")
-    best = top_per_key(placed, ["_p"], order, count, "ord").withColumn("ord", F.col("ord").cast("bigint"))
-    return (questions.select("q_id", F.lower(F.col(question)).alias("_p")).join(best, "_p").drop("_p")
-            .withColumn("retrieval_source", F.lit("keyword")))
-
-
 # --- decisions by case number ---------------------------------------------------
 
 def case_number_search(questions: DataFrame, decisions: DataFrame, count: int,

@@ -12,7 +12,8 @@ from ..functions.text import preview
 from ..operators.candidates import (article_links, expand_cited, expand_previous, merge_candidates,
                                     rank_candidates, union_candidates)
 from ..operators.history import clean_history
-from ..operators.lookup import keyword_search, vector_top_k, best_chunk_articles
+from ..operators.keywords import keyword_search
+from ..operators.lookup import best_chunk_articles, vector_top_k
 from ..operators.ordered import explode_rows
 from ..operators.parsing import last_history_refs, normalised, parse_resolved, per_distinct
 from ..session import cut_lineage

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from statuta.operators import lookup, ordered
+from statuta.operators import keywords, lookup, ordered
 from statuta.operators.candidates import article_links, expand_cited, expand_previous, merge_candidates
 from statuta.plans.retrieval import resolve_questions
 
@@ -54,7 +54,7 @@ def test_substring_search_equals_nested_loop(spark):
     pats = sorted({t[i:i + rng.randint(1, 14)] for t in texts[:25] for i in range(0, len(t), 4)} | {"-", ".", "AB", "zz", " "})
     pdf = spark.createDataFrame(list(enumerate(pats)), "pid int, p string")
     tdf = spark.createDataFrame(list(enumerate(texts)), "tid int, t string")
-    got = {(r.pid, r.tid) for r in lookup.substring_matches(pdf, tdf, "p", "t", "pid", "tid").collect()}
+    got = {(r.pid, r.tid) for r in keywords.substring_matches(pdf, tdf, "p", "t", "pid", "tid").collect()}
     assert got == {(i, j) for i, p in enumerate(pats) for j, t in enumerate(texts) if p.lower() in t.lower()}
 
 
@@ -102,7 +102,7 @@ def test_keyword_search_with_a_very_long_token(spark):
     long = "ab" * 50_000
     texts = spark.createDataFrame([(1, "karar " + long), (2, long), (3, "bir karar daha")], "id long, text string")
     asked = spark.createDataFrame([(1, "karar"), (2, "k"), (3, "ba" * 100), (4, "a karar"), (5, "KARAR")], "q_id long, question string")
-    got = sorted(map(tuple, lookup.keyword_search(asked, texts, 2, [F.col("id")]).select("q_id", "id", "ord").collect()))
+    got = sorted(map(tuple, keywords.keyword_search(asked, texts, 2, [F.col("id")]).select("q_id", "id", "ord").collect()))
     assert got == [(1, 1, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2), (5, 1, 1), (5, 3, 2)]
 
 
