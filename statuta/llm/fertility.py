@@ -89,22 +89,23 @@ class Vocabulary:
         ranks = {x: i for i, x in enumerate(spelled_bytes) if x and i not in merges.special.values()}
         self.byte_level = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.is_part = np.array([not _whole(x) for x in spelled_bytes])
-        self.byte_counts, self.byte_ids, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
         spelled = [self.model.id_to_piece(i) for i in range(n)]
         self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
         self.is_symbol = np.array([not self.model.is_byte(i) and bool(p := s.replace("▁", "")) and all(
             unicodedata.category(c)[0] == "S" or c in SYMBOLS for c in p) for i, s in enumerate(spelled)])
-        self.table = P.WordTable(self.encode, {})
-        self.facts = np.zeros((0, 5), np.int64)
+        self.table = P.WordTable(self.encode, {}, self._forget)
         self.begins = np.array([b for b, _ in SCRIPT_BLOCKS])
 
+    def _forget(self) -> None:
+        self.facts = np.zeros((0, 5), np.int32)
+        self.byte_counts, self.byte_ids, self.parts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self.model.encode(words, num_threads=1)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.array([i for row in ids for i in row], np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum()))
         ends = np.concatenate([[0], np.cumsum(counts)])
         spread = lambda flags: (s := np.concatenate([[0], np.cumsum(flags)]))[ends[1:]] - s[ends[:-1]]
         _, cp, at = P.laid_out(words)
@@ -117,7 +118,7 @@ class Vocabulary:
         owner = np.searchsorted(at, where, side="right") - 1
         first[owner[::-1]] = script[where[::-1]]
         facts = np.stack([np.diff(at), per(np.isin(cp, [ord(c) for c in SYMBOLS])), spread(self.is_byte[flat]), spread(self.is_symbol[flat]), first], axis=1)
-        self.facts = np.concatenate([self.facts, facts]) if self.table.known else facts
+        self.facts = np.concatenate([self.facts, facts.astype(np.int32)])
         self._encode_bytes(words)
         return counts, flat
 
@@ -129,9 +130,9 @@ class Vocabulary:
         ends = np.concatenate([[0], np.cumsum(counts)])
         running = np.concatenate([[0], np.cumsum(self.is_part[flat])])
         parts = running[ends[1:]] - running[ends[:-1]]
-        kept = (self.byte_counts, self.byte_ids, self.parts) if self.table.known else (counts[:0], flat[:0], parts[:0])
-        self.byte_counts, self.byte_ids, self.parts = (np.concatenate(x) for x in zip(kept, (counts, flat, parts), strict=True))
-        self.byte_starts = np.cumsum(self.byte_counts) - self.byte_counts
+        new = (counts.astype(np.int32), flat, parts.astype(np.int32))
+        self.byte_counts, self.byte_ids, self.parts = (np.concatenate(x) for x in zip((self.byte_counts, self.byte_ids, self.parts), new, strict=True))
+        self.byte_starts = np.cumsum(self.byte_counts, dtype=np.int64) - self.byte_counts
 
     def flat_bytes(self, words: np.ndarray) -> np.ndarray:
         """Ids of the byte-level vocabulary of a sequence of pieces."""

@@ -61,13 +61,16 @@ class _Words:
     """Stable 64-bit hashes of distinct words, once per Python worker."""
 
     def __init__(self):
-        self.table, self.hashes = P.WordTable(self.encode, {}), np.zeros(0, np.uint64)
+        self.table = P.WordTable(self.encode, {}, self._forget)
+
+    def _forget(self):
+        self.hashes = np.zeros(0, np.uint64)
 
     def encode(self, words):
         import xxhash
 
         new = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        self.hashes = np.concatenate([self.hashes, new]) if self.table.known else new
+        self.hashes = np.concatenate([self.hashes, new])
         return np.ones(len(words), np.int64), np.zeros(len(words), np.int32)
 
 

@@ -6,6 +6,7 @@ operations, and equal pieces share one number, so that a tokenizer runs once per
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 import sys
@@ -18,8 +19,9 @@ import pandas as pd
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points of one array pass, and of the texts that are held together.
 CHUNK_CHARS, SLAB_CHARS = 1 << 20, 8 << 20
-#: Distinct pieces a Python worker keeps between batches.
-KEPT_WORDS = 500_000
+#: Memory that the pieces a Python worker keeps between slabs may take, by estimate, and what one takes beside
+#: its characters.
+KEPT_BYTES, PIECE_BYTES = 80 << 20, 180
 # Unicode White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -45,10 +47,10 @@ def newer_letters() -> tuple[list[int], list[int]]:
 def char_classes() -> np.ndarray:
     """Class of every code point."""
     out = np.zeros(sys.maxunicode + 1, np.uint8)
-    kinds = "".join(unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1))
+    kinds = "".join(unicodedata.category(chr(i))[0] for i in range(LAST_ASSIGNED))
     first = np.frombuffer(kinds.encode("ascii"), np.uint8)
-    out[first == ord("L")] = LETTER
-    out[first == ord("N")] = NUMBER
+    out[:LAST_ASSIGNED][first == ord("L")] = LETTER
+    out[:LAST_ASSIGNED][first == ord("N")] = NUMBER
     for kind, newer in zip((LETTER, NUMBER), newer_letters(), strict=True):
         out[newer] = kind
     out[WHITE] = SPACE
@@ -184,20 +186,37 @@ def numbered(joined: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return codes, [joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
 
 
+@functools.cache
+def _allocator():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on through other operators' tasks."""
+    _allocator()(0)
+
+
 class WordTable:
-    """Token ids of distinct pieces, kept for the life of a Python worker within KEPT_WORDS.
+    """Token ids of distinct pieces, kept for the life of a Python worker within KEPT_BYTES.
 
-    ``encode`` gets the new pieces of a slab at once and returns their ids as (counts, flat ids).  Of all
-    tables of a worker only the one in use holds pieces.
+    ``encode`` gets the new pieces of a slab at once and returns their ids as (counts, flat ids); ``forget``
+    empties what its owner keeps for each piece.  Of all tables of a worker only the one in use holds pieces.
     """
 
     in_use: WordTable | None = None
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fixed: dict[str, int]):
-        self._encode, self._fixed = encode, fixed
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fixed: dict[str, int],
+                 forget: Callable[[], None] | None = None):
+        self._encode, self._fixed, self._forget = encode, fixed, forget
         self._clear()
 
     def _clear(self) -> None:
+        if self._forget is not None:
+            self._forget()
+        self.size = 0
         self.number: dict[str, int] = {}
         self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
@@ -211,12 +230,19 @@ class WordTable:
             if WordTable.in_use is not None:
                 WordTable.in_use._clear()
             WordTable.in_use = self
-        if len(self.number) > KEPT_WORDS:
+        if self.size + self.ids.nbytes > KEPT_BYTES:
             self._clear()
+        give_back()
 
     def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces, new ones behind the others."""
         number = self.number
-        return np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        found = list(map(number.get, words))
+        for k, word in enumerate(words):
+            if found[k] is None:
+                found[k] = number[word] = len(number)
+                self.size += PIECE_BYTES + len(word)
+        return np.array(found, np.int64)
 
     def fill(self) -> None:
         """Encode the pieces that came in since the last call."""

@@ -8,6 +8,7 @@ checkpoints (states and stream place) let several decoders start at once.  Every
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -110,10 +111,14 @@ def pack(ids: np.ndarray, blocks_at_once: int = 64) -> tuple[bytes, bytes, list[
     """Symbols, frequencies and coded blocks of a run of ids; a block states its number of ids and CRC-32."""
     if not len(ids):
         return b"", b"", []
-    symbols, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    often = np.bincount(ids)
+    symbols = np.flatnonzero(often)
+    counts = often[symbols]
+    place_of = np.zeros(len(often), np.int32)
+    place_of[symbols] = np.arange(len(symbols))
     freq = frequency_table(counts)
     fill = -len(ids) % BLOCK
-    grid = np.concatenate([places.astype(np.int32), np.full(fill, np.argmax(counts), np.int32)]).reshape(-1, BLOCK)
+    grid = np.concatenate([place_of[ids], np.full(fill, np.argmax(counts), np.int32)]).reshape(-1, BLOCK)
     blocks = []
     for b in range(0, len(grid), blocks_at_once):
         for k, (words, points) in enumerate(code_blocks(grid[b:b + blocks_at_once], freq), b):
@@ -166,7 +171,8 @@ def _library(path: str) -> tuple:
 
         def encode(words):
             rows = [e.ids for k in range(0, len(words), 20_000) for e in tok.encode_batch_fast(words[k:k + 20_000], add_special_tokens=False)]
-            return np.fromiter(map(len, rows), np.int64, len(rows)), np.array([i for r in rows for i in r], np.int32)
+            counts = np.fromiter(map(len, rows), np.int64, len(rows))
+            return counts, np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(counts.sum()))
 
         _TABLES[path] = (P.WordTable(encode, special), re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None)
     return _TABLES[path]

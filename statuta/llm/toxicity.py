@@ -125,7 +125,9 @@ class _Tagger:
     def __init__(self, terms: dict[str, float]):
         self.fixed = {w: t for t, words in LEXICON.items() for w in words.split()}
         self.terms = terms
-        self.table = P.WordTable(self.encode, {})
+        self.table = P.WordTable(self.encode, {}, self._forget)
+
+    def _forget(self):
         self.tags, self.strength = np.zeros(0, np.int8), np.zeros(0)
 
     def encode(self, words):
@@ -136,9 +138,7 @@ class _Tagger:
             if tag == OTHER and weight > 0:
                 tag = INSULT
             tags[k], strength[k] = tag, max(1.0, weight) if tag in (INSULT, THREAT) else 0.0
-        old = self.table.known
-        self.tags = np.concatenate([self.tags, tags]) if old else tags
-        self.strength = np.concatenate([self.strength, strength]) if old else strength
+        self.tags, self.strength = np.concatenate([self.tags, tags]), np.concatenate([self.strength, strength])
         return np.ones(len(words), np.int64), np.zeros(len(words), np.int32)
 
 
