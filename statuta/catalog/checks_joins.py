@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..operators import candidates as C
-from ..operators import corpus, keywords, lookup, parsing
+from ..operators import corpus, keywords, lookup, parsing, vector_index
 from ..plans import retrieval
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from .inputs import VIEWS, cte, derived, spread, table
 
 Q: dict = {}
@@ -117,6 +119,32 @@ def _(spark, sf):
         "q_id", "v_id", _big("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+def _index(spark, sf, cells=None):
+    _q, v = _vectors(spark, sf)
+    return vector_index.build_index(v, f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}", cells)
+
+
+@register("j05_all_cells_probed", _COS + " SELECT q_id, v_id, CAST(rank AS BIGINT) AS rank, round(sim, 6) AS similarity FROM t WHERE rank <= 8")
+def _(spark, sf):
+    """With every cell probed, the inverted lists give the exact result."""
+    index = _index(spark, sf, 12)
+    found = vector_index.approximate_top_k(_vectors(spark, sf)[0], index, V.SEMANTIC_COUNT, len(index.centers))
+    return found.select("q_id", "v_id", _big("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@register("j05_approximate_recall", """
+SELECT count(*) AS queries, 8 * count(*) AS wanted, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0""")
+def _(spark, sf):
+    """Recall at 8 against the exact search, for every hundredth vector, with the number of probes fitted on other rows."""
+    q, v = _vectors(spark, sf)
+    index = _index(spark, sf)
+    probes = vector_index.calibrated_probes(index, q.where("q_id % 100 <> 0"), V.SEMANTIC_COUNT)
+    q = q.where("q_id % 100 = 0")
+    found = vector_index.approximate_top_k(q, index, V.SEMANTIC_COUNT, probes)
+    measured = vector_index.recall(found, lookup.vector_top_k(q, v, V.SEMANTIC_COUNT))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 # Two documents make one article; a document has the vector of its number, so many similarities tie.
 _BEST = """
 WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -66,7 +66,11 @@ def case_number_search(questions: DataFrame, decisions: DataFrame, count: int,
 
 # --- vector search -----------------------------------------------------------------
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+#: Vectors that one Python task holds at a time, as bytes of doubles.
+BLOCK_BYTES = 64 << 20
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
     v = np.stack(vectors.to_numpy()).astype(np.float64)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
@@ -83,7 +87,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return some
 
 
-def _block_top_k(k: int):
+def block_top_k(k: int):
     """Top-k of streamed queries against the block of vectors that comes before them."""
     def run(batches):
         block, held, ids, matrix = None, [], None, None
@@ -98,30 +102,34 @@ def _block_top_k(k: int):
                     continue
                 if ids is None:
                     own = pd.concat(held).sort_values("id", ignore_index=True)
-                    ids, matrix = own["id"].to_numpy(), _unit(own["vector"])
+                    ids, matrix = own["id"].to_numpy(), unit(own["vector"])
                 for at in range(0, len(part), 512):
                     own = part.iloc[at:at + 512]
-                    scores = _unit(own["vector"]) @ matrix.T
+                    scores = unit(own["vector"]) @ matrix.T
                     best = _best(scores, k)
                     yield pd.DataFrame({"q_id": np.repeat(own["id"].to_numpy(), best.shape[1]), "v_id": ids[best].ravel(),
                                         "similarity": np.take_along_axis(scores, best, 1).ravel()})
     return run
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_blocks: int | None = None) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, vector_blocks: int | None = None,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact cosine top-k.  ``queries(q_id, vector)``, ``vectors(v_id, vector)``.
 
-    Vectors are dealt out once, by hash into ``vector_blocks`` blocks (as many as there are shuffle
-    partitions, if not given; a block must fit a task).  The queries, the small side, go to every block
-    and are streamed past it; k rows per query leave a block.
+    Vectors are dealt out once, by hash into ``vector_blocks`` blocks (if not given, as many as keep a block
+    below ``block_bytes``, by a count of the vectors, and no fewer than there are shuffle partitions).  The
+    queries go to every block and are streamed past it; k rows per query leave a block.
     """
-    blocks = vector_blocks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = vector_blocks
+    if blocks is None:
+        size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+        blocks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] * 8 * max(size["dim"] or 1, 1) // block_bytes))
     dealt = vectors.select(F.pmod(F.xxhash64("v_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("is_query"),
                            F.col("v_id").cast("bigint").alias("id"), "vector")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"),
                            F.col("q_id").cast("bigint").alias("id"), "vector")
     rows = dealt.unionByName(asked).where(F.col("vector").isNotNull()).repartition(blocks, "block").sortWithinPartitions("block", "is_query")
-    partial = rows.mapInPandas(_block_top_k(k), "q_id bigint, v_id bigint, similarity double")
+    partial = rows.mapInPandas(block_top_k(k), "q_id bigint, v_id bigint, similarity double")
     return top_per_key(partial, ["q_id"], [F.desc("similarity"), F.asc("v_id")], k)
 
 
