@@ -8,7 +8,7 @@ from ..functions import numbers, text
 from ..functions import fixed_values as V
 from ..operators import corpus, parsing
 from ..sources import readers
-from .inputs import WS, canon_sql, collapse_sql, cte, derived, table
+from .inputs import WS, canon_sql, collapse_sql, cte, derived, spread, table
 
 Q: dict = {}
 
@@ -186,6 +186,44 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", body.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+# Pages of blocks inside blocks: an item of a list with further blocks before, between and in its parts.
+@register("s09_nested_listing", """
+SELECT o_orderkey AS page_id, concat('https://x/BB/', CAST(o_orderkey AS VARCHAR), '/', CAST(i AS VARCHAR)) AS url, concat('Karar & ', o_orderpriority, CAST(i AS VARCHAR)) AS title,
+  concat('2020/', CAST(o_custkey AS VARCHAR)) AS application_no, CAST(o_orderdate AS DATE) AS decision_date, concat('konu', o_orderstatus, 'sonu', CAST(i AS VARCHAR)) AS subject
+FROM orders, (VALUES (1), (2)) AS t(i)""")
+def _(spark, sf):
+    o = spread(table(spark, sf, "orders"))
+    key = F.col("o_orderkey").cast("string")
+    item = lambda i: F.concat(
+        F.lit('<div class="a"><DIV id=x class="kutu birkarar x"><div class="b"><div>iç</div></div><script>"</div>"</script><a href="/BB/1?Dil=en">d</a><a title="a>b" href=\'/BB/'),
+        key, F.lit(f"/{i}'>git</a><titles>Karar &amp; "), "o_orderpriority", F.lit(f'{i}</titles><div class="kararbilgileri"><div>2020/'), F.col("o_custkey").cast("string"),
+        F.lit('</div> | Esas | Birinci Bölüm | <div><span>Karar Tarihi : '), F.date_format("o_orderdate", "dd/MM/yyyy"),
+        F.lit('</span></div></div><!-- <div> --><div class="basvurukonualani">konu<div class="basvurukonualani">'), "o_orderstatus", F.lit(f"</div>sonu{i}</div></DIV></div>"))
+    html = F.concat(F.lit('</div><div class="birkararlar"><a href="/BB/0">x</a></div>'), item(1), item(2), F.lit('<div class="birkarar">ohne'))
+    rows = readers.listed_decisions(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "https://x")
+    return rows.select("page_id", "url", "title", "info.application_no", "info.decision_date", "subject")
+
+
+@register("s10_decision_page", """
+SELECT o_orderkey AS page_id, CASE o_orderkey % 4
+  WHEN 0 THEN concat('TÜRKİYE CUMHURİYETİ', chr(10), 'Karar ', CAST(o_custkey AS VARCHAR), chr(10), 'son')
+  WHEN 1 THEN concat('orta ', o_orderpriority, chr(10), 'içerik', chr(10), 'kuyruk')
+  WHEN 2 THEN concat('TÜRKİYE CUMHURİYETİ', chr(10), 'menü sonu ', o_orderstatus)
+  ELSE concat('açık kalan ', o_orderstatus, chr(10), 'sayfa sonu') END AS text FROM orders""")
+def _(spark, sf):
+    o = spread(table(spark, sf, "orders"))
+    side = '<div class="filtreler"><div>iç<div class="filtreler">daha iç</div></div>kenar</div>'
+    forms = [
+        F.concat(F.lit(f'<div>menü</div><div class="ortaalan">{side}<div class="x kararsonucalani"><p>giriş</p>{side}<div>TÜRKİYE CUMHURİYETİ</div><p>Karar '),
+                 F.col("o_custkey").cast("string"), F.lit('</p><div class="aravetemizle"><div>x</div>y</div><div><div>son</div></div></div><div>alt</div></div>')),
+        F.concat(F.lit(f'<div>menü</div>{side}<div class="ortaalan"><div>orta '), "o_orderpriority", F.lit(f'</div>{side}<p>içerik</p><div><div>kuyruk</div></div></div><div>alt</div>')),
+        F.concat(F.lit(f'menü{side}<style>div{{}}</style><p>TÜRKİYE CUMHURİYETİ</p><div class="ortaalanlar">menü sonu '), "o_orderstatus", F.lit("</div>")),
+        F.concat(F.lit('<div>menü</div><div class="kararsonucalani">açık kalan '), "o_orderstatus", F.lit('<div>sayfa sonu</div><div class="filtreler">kenar<div>')),
+    ]
+    html = F.get(F.array(*forms), (F.col("o_orderkey") % 4).cast("int"))
+    return o.select(F.col("o_orderkey").alias("page_id"), readers.decision_text(html).alias("text"))
+
+
 # --- scalar normalisers ---------------------------------------------------------
 
 @register("n01_canonical_text", f"SELECT doc_id, sha256({canon_sql('text')}) AS canon FROM documents")

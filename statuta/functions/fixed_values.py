@@ -481,7 +481,7 @@ TOO_SHORT_REASON = ("çok kısa", 80)
 
 # --- fixed values: decision pages --------------------------------------------------------
 DECISION_PAGE = {
-    "item_class": "birkarar", "info_class": "kararbilgileri",
+    "drop_tags": ["script", "style"], "item_class": "birkarar", "info_class": "kararbilgileri",
     "subject_class": "basvurukonualani", "title_tag": "titles",
     "link_contains": "/BB/", "link_excludes": "Dil=",
     "body_classes": ["kararsonucalani", "ortaalan"],

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as V
-from ..functions.text import decision_info, let, literal_map, quote, strip
 from .. import schemas
+from ..functions import fixed_values as V
+from ..functions import markup
+from ..functions.text import decision_info, let, literal_map
+from ..operators.ordered import explode_rows
 
 _META = ["law_no", "regulation_name", "source_type"]
 
@@ -79,23 +81,23 @@ def read_law(spark: SparkSession, path: str, law_no: str | None = None) -> DataF
 
 # --- web pages -------------------------------------------------------------------
 
-def _inner(html: Column, pattern: str) -> Column:
-    return strip(F.regexp_replace(F.regexp_extract(html, pattern, 1), r"(?s)<[^>]*>", ""))
+def listed_decisions(pages: DataFrame, base_url: str = "", page: dict = V.DECISION_PAGE) -> DataFrame:
+    """One row per listed decision: link, title, info line, clipped subject; links once.
 
+    An item is a whole block with all blocks inside, and so are its info line and its subject.
+    """
+    parts = pages.select("page_id", markup.tokens(markup.without(F.col("html"), page["drop_tags"])).alias("parts"))
+    blocks = markup.spans(F.col("parts"), "div", [page["item_class"]])
+    items = explode_rows(parts, blocks, "nth", "block").select("page_id", "nth", markup.cut(F.col("parts"), F.col("block")).alias("item"))
 
-def listed_decisions(pages: DataFrame, base_url: str = "", page: dict = V.DECISION_PAGE) -> DataFrame:
-    """One row per listed decision: link, title, info line, clipped subject; links once."""
-    div = lambda c: rf'(?s)<div[^>]*class="[^"]*\b{c}\b[^"]*"[^>]*>(.*?)</div>'
-    start = rf'(?=<div[^>]*class="[^"]*\b{page["item_class"]}\b)'
-    items = pages.select("page_id", F.posexplode(F.split("html", start)).alias("nth", "item")).where(
-        F.col("item").rlike("^<div"))
-    link = (rf'(?s)<a[^>]*href="((?![^"]*{quote(page["link_excludes"])})'
-            rf'[^"]*{quote(page["link_contains"])}[^"]*)"')
+    def link(item: Column) -> Column:
+        hrefs = F.transform(F.filter(item, lambda t: t.rlike(r"(?is)^<a(?=[\s/>])")), lambda t: markup.attribute(t, "href"))
+        return F.get(F.filter(hrefs, lambda h: F.contains(h, F.lit(page["link_contains"])) & ~F.contains(h, F.lit(page["link_excludes"]))), F.lit(0))
+
+    div = lambda c: markup.first_text(F.col("item"), "div", [page[c]])
     rows = items.select(
-        "page_id", "nth", F.regexp_extract("item", link, 1).alias("href"),
-        _inner(F.col("item"), rf"(?s)<{page['title_tag']}[^>]*>(.*?)</{page['title_tag']}>").alias("title"),
-        decision_info(_inner(F.col("item"), div(page["info_class"]))).alias("info"),
-        F.substring(_inner(F.col("item"), div(page["subject_class"])), 1, page["subject_length"]).alias("subject"))
+        "page_id", "nth", link(F.col("item")).alias("href"), markup.first_text(F.col("item"), page["title_tag"]).alias("title"),
+        decision_info(div("info_class")).alias("info"), F.substring(div("subject_class"), 1, page["subject_length"]).alias("subject"))
     full = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base_url), F.col("href")))
     return first_links(rows.where(F.col("href") != "").withColumn("url", full).drop("href"))
 
@@ -117,21 +119,20 @@ def page_links(pages: DataFrame, contains: str, excludes: str | None = None) ->
 
 
 def page_text(html: Column, drop_tags: list[str] = ["script", "style"], drop_classes: list[str] = [],
-              start_marker: str | None = None) -> Column:
-    """Text of a page: dropped tags and side blocks out, other tags become line breaks,
-    blank lines out, and everything before the marker phrase out."""
-    out = html
-    for tag in drop_tags:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    for name in drop_classes:
-        out = F.regexp_replace(out, rf'(?is)<div[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>.*?</div>', "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                         ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = strip(F.regexp_replace(out, r"(?U)\s*\n\s*", "\n"))
+              start_marker: str | None = None, body_classes: list[str] = []) -> Column:
+    """Text of a page: dropped tags and side blocks out, of the rest the first block of the first body class
+    that there is (else all), other tags as line breaks, blank lines out, everything before the marker phrase out."""
+    def body(parts: Column) -> Column:
+        kept = markup.outside(parts, markup.spans(parts, "div", drop_classes)) if drop_classes else parts
+        return let(kept, lambda k: markup.lines(markup.container(k, "div", body_classes)))
+
+    out = let(markup.tokens(markup.without(html, drop_tags)), body)
     if start_marker is None:
         return out
     return let(out, lambda t: F.when(F.instr(t, start_marker) > 1, F.substr(
         t, F.instr(t, start_marker))).otherwise(t))
+
+
+def decision_text(html: Column, page: dict = V.DECISION_PAGE) -> Column:
+    """Text of a decision page under its settings."""
+    return page_text(html, page["drop_tags"], page["side_classes"], page["start_marker"], page["body_classes"])
