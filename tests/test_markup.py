@@ -21,7 +21,7 @@ def plain_spans(html, names):
                 if wanted:
                     out.append((first, at))
         elif re.match(r"(?i)<div[\s/>]", token) and not re.search(r"/\s*>$", token):
-            own = re.search(r"""class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", token)
+            own = re.search(r"""\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", token)
             stack.append((at, bool(own) and bool(set("".join(g or "" for g in own.groups()).split()) & set(names))))
     return sorted(out + [(first, len(parts)) for first, wanted in stack if wanted])
 
