@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -32,9 +32,22 @@ def with_folder(lines: DataFrame) -> DataFrame:
 
 
 def read_statute_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, folder, law_no, line_no, line`` of raw statute files."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return with_folder(cut_lines(raw))
+    """``file, folder, law_no, line_no, line`` of raw statute files.
+
+    A file is read split by split, each by a task of its own.  Rows of a split follow each other, so their place in
+    it is the distance of their running numbers from the first one; the lines of the splits before, one row per
+    split, make it the place in the file.  A line end closes a line: behind the last one there is no empty line.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = rows.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = splits.select("file", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id") - F.col("_first")
+    placed = rows.join(ahead, ["file", "_start"]).withColumn("line_no", place.cast("int"))
+    mark = F.when(F.col("line_no") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    return with_folder(placed.withColumn("line", mark))
 
 
 def law_names(lines: DataFrame) -> DataFrame:
