@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.text import content_hash
 from ..operators import candidates as C
 from ..operators import corpus, keywords, lookup, parsing, vector_index
 from ..plans import retrieval
 from ..session import cut_lineage, shared_folder
+from ..sources import corpus_store
+from ..sources.readers import read_by_law
+from ..sources.writers import replace_laws
 from .inputs import VIEWS, cte, derived, spread, table
 
 Q: dict = {}
@@ -36,6 +40,44 @@ def _(spark, sf):
     return found.select("q_id", _big("ord"), "id", "law_no", "article_type", "article_no")
 
 
+@register("j01_stored_articles", cte("asked_refs", "statutes") + """
+SELECT r.q_id, CAST(r.ord AS BIGINT) AS ord, s.id, s.law_no, s.article_type, s.article_no FROM asked_refs r
+JOIN statutes s ON s.law_no = r.law_no AND s.article_no = r.article_no AND s.article_type = r.article_type""")
+def _(spark, sf):
+    """The lookup against a table that is stored in buckets of the article key."""
+    name = f"articles_{uuid.uuid4().hex}"
+    stored = corpus_store.store_lookup(derived(spark, sf, "statutes"), name, f"{shared_folder(spark)}/{name}", lookup.STATUTE_KEY, _buckets(spark))
+    return lookup.direct_articles(derived(spark, sf, "asked_refs"), stored).select("q_id", _big("ord"), "id", "law_no", "article_type", "article_no")
+
+
+def _buckets(spark):
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@register("s04_wanted_laws", cte("asked", "statutes") + " SELECT id, law_no, article_no FROM statutes WHERE law_no IN (SELECT law_no FROM asked)")
+def _(spark, sf):
+    """The laws that questions name, out of a table stored by law."""
+    path = f"{shared_folder(spark)}/laws-{uuid.uuid4().hex}"
+    replace_laws(derived(spark, sf, "statutes").select("id", "law_no", "article_no"), path)
+    return corpus_store.read_laws(spark, path, derived(spark, sf, "asked")).select("id", "law_no", "article_no")
+
+
+@register("s05_load_of_touched_laws", cte("statutes") + """, e AS (SELECT id, law_no, article_type, article_no,
+  CASE WHEN law_no IN ('6098', '6100') AND id % 3 = 0 THEN concat(text, ' değişik') ELSE text END AS text FROM statutes)
+SELECT law_no, count(*) AS articles, count(CASE WHEN text LIKE '% değişik' THEN 1 END) AS changed FROM e GROUP BY law_no""")
+def _(spark, sf):
+    """A batch of two laws loaded into the store: its laws are replaced, the others stay."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    articles = derived(spark, sf, "statutes").select("id", "source_type", "law_no", "law_name", "article_type", "article_no", "text").withColumn(
+        "content_hash", content_hash(F.col("text")))
+    articles = cut_lineage(articles)
+    corpus_store.create_store(path, articles, corpus.chunk_rows(articles), corpus.citation_edges(articles))
+    edited = F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" değişik"))).otherwise(F.col("text"))
+    corpus_store.load_batch(spark, path, articles.where(F.col("law_no").isin("6098", "6100")).withColumn("text", edited).drop("content_hash"))
+    return read_by_law(spark, f"{path}/articles").groupBy("law_no").agg(
+        F.count(F.lit(1)).alias("articles"), F.count_if(F.col("text").endswith(" değişik")).alias("changed"))
+
+
 @register("j02_direct_regulations", cte("asked", "statutes") + """
 SELECT a.q_id, s.id, s.law_no, concat(s.law_name, ' Yönetmeliği') AS law_name, s.article_no FROM asked a
 JOIN statutes s ON s.law_no = a.law_no AND s.article_no = CAST(a.n AS VARCHAR) AND s.article_type = 'madde'""")
@@ -423,12 +465,25 @@ def _(spark, sf):
         "rank_score", "matched_text", "extraction_status", "preview")
 
 
+@register("p22_stored_corpus", _P22)
+def _(spark, sf):
+    """The same result over a corpus that is stored in buckets, with its links and its key counts."""
+    articles = cut_lineage(corpus.with_structure(derived(spark, sf, "statutes")))
+    name = f"corpus_{uuid.uuid4().hex}"
+    links = C.article_links(articles, corpus.citation_edges(articles))
+    stored = corpus_store.store_lookups(articles, links, name, f"{shared_folder(spark)}/{name}", _buckets(spark))
+    counts = cut_lineage(keywords.key_counts(articles))
+    resolved = cut_lineage(retrieval.resolve_questions(derived(spark, sf, "questions").select("q_id", "question")))
+    return retrieval.retrieve_resolved(resolved, stored["links"], stored["articles"], links_by_id=stored["links_by_id"], key_counts=counts).select(
+        "q_id", "resolved_question", "decision_intent", _big("rank"), "id", "law_no", "article_type", "article_no", "retrieval_source",
+        "rank_score", "matched_text", "extraction_status", "preview")
+
+
 # --- incremental loading ------------------------------------------------------------
 
 def _change_inputs(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("law_no"), F.lit("madde").alias("article_type"),
                                             F.col("c_custkey").cast("string").alias("article_no"), F.col("c_custkey").alias("k"), F.col("c_name").alias("text"))
-    from ..functions.text import content_hash
     stored = c.where(F.col("k") % 5 != 0).withColumn("content_hash", content_hash(F.col("text")))
     edited = F.when(F.col("k") % 3 == 0, F.concat("text", F.lit(" değişik"))).otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))
     incoming = c.where(F.col("k") % 11 != 0).withColumn("text", edited)

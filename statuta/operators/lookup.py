@@ -11,6 +11,19 @@ from ..functions.refs import case_numbers
 from .ordered import explode_rows, top_per_key
 
 
+#: Keys of a lookup, in the order in which stored tables are bucketed: another order would not match their buckets.
+STATUTE_KEY = ["law_no", "article_no", "article_type"]
+REGULATION_LOOKUP_KEY = ["law_no", "regulation_name", "article_no", "article_type"]
+
+
+def located(asked: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Asked rows with the stored rows of their keys.
+
+    Each key meets the corpus once, however many ask for it, so that a popular article is no hot key there.
+    """
+    return asked.join(asked.select(*keys).distinct().join(stored, keys), keys)
+
+
 def direct_articles(refs: DataFrame, articles: DataFrame) -> DataFrame:
     """Articles named by (law, number, type); one row per reference, its order kept.
 
@@ -18,14 +31,14 @@ def direct_articles(refs: DataFrame, articles: DataFrame) -> DataFrame:
     """
     statutes = articles.where(F.col("source_type") == "mevzuat")
     named = refs.where(F.col("law_no").isNotNull() & F.col("article_no").isNotNull())
-    return (named.join(statutes, ["law_no", "article_no", "article_type"])
+    return (located(named, statutes, STATUTE_KEY)
             .withColumn("retrieval_source", F.lit("direct_article_lookup")))
 
 
 def direct_regulation_articles(refs: DataFrame, articles: DataFrame) -> DataFrame:
     """Regulation articles named by (parent law, regulation, number, type)."""
     regulations = articles.where(F.col("source_type") == "yonetmelik")
-    return (refs.join(regulations, ["law_no", "regulation_name", "article_no", "article_type"])
+    return (located(refs, regulations, REGULATION_LOOKUP_KEY)
             .withColumn("retrieval_source", F.lit("direct_yonetmelik_lookup"))
             .withColumn("law_name", F.col("regulation_name")))
 

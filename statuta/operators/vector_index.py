@@ -111,8 +111,9 @@ def approximate_top_k(queries: DataFrame, index: VectorIndex, k: int, probes: in
         return spark.createDataFrame([], "q_id bigint, v_id bigint, similarity double, rank int")
     placed = _clean(queries, "q_id").mapInPandas(_placed(index.centers, probes), "cell int, id bigint, vector array<double>")
     asked = explode_rows(placed, F.sequence(F.lit(0), _blocks_of(index.blocks) - 1), "_n", "block").drop("_n")
-    # run-time pruning: the cells that queries probe decide which partitions of the lists are read
-    probed = placed.select("cell").distinct()
+    # run-time pruning: the cells that queries probe decide which partitions of the lists are read; the comparison
+    # keeps every cell, but without one the optimizer does not take them for a filter
+    probed = placed.select("cell").distinct().where("cell >= 0")
     held = index.rows.join(F.broadcast(probed), "cell")
     place = F.xxhash64("cell", "block").alias("block")  # one number for cell and block
     both = held.select(place, F.lit(False).alias("is_query"), "id", "vector").unionByName(asked.select(place, F.lit(True).alias("is_query"), "id", "vector"))

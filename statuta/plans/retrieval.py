@@ -13,7 +13,7 @@ from ..operators.candidates import (article_links, expand_cited, expand_previous
                                     rank_candidates, union_candidates)
 from ..operators.history import clean_history
 from ..operators.keywords import keyword_search
-from ..operators.lookup import best_chunk_articles, vector_top_k
+from ..operators.lookup import REGULATION_LOOKUP_KEY, STATUTE_KEY, best_chunk_articles, located, vector_top_k
 from ..operators.ordered import explode_rows
 from ..operators.parsing import last_history_refs, normalised, parse_resolved, per_distinct
 from ..session import cut_lineage
@@ -63,14 +63,14 @@ def explicit_candidates(resolved: DataFrame, links: DataFrame) -> DataFrame:
     refs = (explode_rows(resolved.select("q_id", "refs"), F.col("refs"), "ord", "r")
             .select("q_id", F.col("ord").cast("bigint").alias("ord"), "r.*").where(F.col("law_no").isNotNull()))
     statutes = links.where(F.col("source_type") == "mevzuat")
-    direct = _slim(refs.join(statutes, ["law_no", "article_no", "article_type"]),
+    direct = _slim(located(refs, statutes, STATUTE_KEY),
                    retrieval_source=F.lit("direct_article_lookup"), similarity=null_sim)
     asked = (explode_rows(resolved.where(~F.col("gated")).select("q_id", "regulation_refs"),
                           F.col("regulation_refs"), "ord", "r")
              .select("q_id", F.col("ord").cast("bigint").alias("ord"), "r.*"))
     regulations = links.where(F.col("source_type") == "yonetmelik")
     from_regulation = _slim(
-        asked.join(regulations, ["law_no", "regulation_name", "article_no", "article_type"]),
+        located(asked, regulations, REGULATION_LOOKUP_KEY),
         retrieval_source=F.lit("direct_yonetmelik_lookup"),
         similarity=null_sim)
     return merge_candidates(union_candidates(direct, from_regulation), V.EXPLICIT_LIMIT, "id")
@@ -98,13 +98,16 @@ def retrieve(questions: DataFrame, articles: DataFrame, edges: DataFrame | None
 
 def retrieve_resolved(resolved: DataFrame, links: DataFrame, articles: DataFrame,
                       question_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None,
-                      keyword: bool = True, exact_bonus: float = 0.0) -> DataFrame:
+                      keyword: bool = True, exact_bonus: float = 0.0, links_by_id: DataFrame | None = None,
+                      key_counts: DataFrame | None = None) -> DataFrame:
     """The same from resolved questions and article links.
 
-    Only ids and keys travel until the final list is fixed; article texts are joined to
+    ``links_by_id`` are the same links where a store keeps them by id as well, ``key_counts`` its frequency table of
+    keyword keys.  Only ids and keys travel until the final list is fixed; article texts are joined to
     the at most eighteen winners of a question.
     """
     explicit = explicit_candidates(resolved, links)
+    links = links if links_by_id is None else links_by_id
     parts = [explicit]
     if question_vectors is not None and chunk_vectors is not None:
         parts.append(semantic_candidates(resolved, explicit, links, question_vectors, chunk_vectors))
@@ -113,7 +116,7 @@ def retrieve_resolved(resolved: DataFrame, links: DataFrame, articles: DataFrame
         open_text = resolved.where(~F.col("gated")).select("q_id", F.col("resolved").alias("question"))
         bodies = articles.where(F.col("source_type") == "mevzuat").select(
             "id", "text", "law_no", "article_type", "article_no")
-        hits = keyword_search(open_text, bodies, V.KEYWORD_COUNT, order)
+        hits = keyword_search(open_text, bodies, V.KEYWORD_COUNT, order, counts=key_counts)
         parts.append(_slim(hits.select("q_id", "id", "ord", "retrieval_source").join(links, "id"),
                            similarity=F.lit(None).cast("double")))
     merged = merge_candidates(union_candidates(*parts), V.MERGED_LIMIT, "id")

@@ -86,9 +86,16 @@ def attach_meta(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.join(meta, "folder")
 
 
+def read_by_law(spark: SparkSession, path: str, law: str = "law_no") -> DataFrame:
+    """A table partitioned by law, its numbers as they were written: as numbers they would lose leading zeros."""
+    found = spark.read.parquet(path).schema
+    kinds = ", ".join(f"`{f.name}` {'string' if f.name == law else f.dataType.simpleString()}" for f in found.fields)
+    return spark.read.schema(kinds).parquet(path)
+
+
 def read_law(spark: SparkSession, path: str, law_no: str | None = None) -> DataFrame:
     """Stored table; one law reads only its partition."""
-    table = spark.read.parquet(path)
+    table = read_by_law(spark, path)
     return table if law_no is None else table.where(F.col("law_no") == law_no)
 
 

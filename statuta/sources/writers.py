@@ -11,11 +11,12 @@ def write_preview(articles: DataFrame, path: str, fmt: str = "json") -> None:
     articles.write.mode("overwrite").format(fmt).save(path)
 
 
-def replace_laws(df: DataFrame, path: str, key: str = "text", salts: int = 8) -> None:
+def replace_laws(df: DataFrame, path: str, key: str | None = None, salts: int = 8, law: str = "law_no") -> None:
     """Replace exactly the laws present in ``df``; other partitions stay as they are.
 
-    Rows are dealt by law and a salt of the key: a law has at most ``salts`` files, and one big law is
-    written by as many tasks.
+    Rows are dealt by law and a salt of the key (if not given, of all other columns that can be hashed): a law has
+    at most ``salts`` files, and one big law is written by as many tasks.
     """
-    (df.repartition("law_no", F.pmod(F.xxhash64(key), F.lit(salts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("law_no").parquet(path))
+    hashed = [key] if key else [n for n, kind in df.dtypes if n != law and "map<" not in kind]
+    (df.repartition(law, F.pmod(F.xxhash64(*hashed), F.lit(salts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(law).parquet(path))
