@@ -231,6 +231,24 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.canon(F.col("text")), 256).alias("canon"))
 
 
+# Mathematical letters, enclosed numbers, full-width digits and Korean syllables by the number of a part.
+_WIDE = {0: (119808, 26, 1), 1: (9312, 20, 1), 2: (65296, 10, 1), 3: (44032, 399, 28)}
+
+
+@register("n01_whole_unicode", """
+SELECT p_partkey, concat('oe ss ', CASE p_partkey % 4 WHEN 0 THEN chr(CAST(65 + k % 26 AS INTEGER)) WHEN 1 THEN CAST(k % 20 + 1 AS VARCHAR) WHEN 2 THEN CAST(k % 10 AS VARCHAR)
+  ELSE concat(chr(CAST(4352 + (k % 399) * 28 // 588 AS INTEGER)), chr(CAST(4449 + (k % 399) * 28 % 588 // 28 AS INTEGER))) END, ' ', lower(p_name)) AS canon
+FROM (SELECT *, p_partkey // 4 AS k FROM part)""")
+def _(spark, sf):
+    k = F.floor(F.col("p_partkey") / 4)
+    code = None
+    for form, (first, count, step) in _WIDE.items():
+        own = F.lit(first) + k % count * step
+        code = F.when(F.col("p_partkey") % 4 == form, own) if code is None else code.when(F.col("p_partkey") % 4 == form, own)
+    wide = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+    return table(spark, sf, "part").select("p_partkey", text.canon(F.concat(F.lit(" Öe ẞ "), wide, F.lit(" "), F.upper("p_name"))).alias("canon"))
+
+
 @register("n02_statute_line", rf"SELECT doc_id, sha256({collapse_sql('line')}) AS line FROM (SELECT doc_id, concat(chr(65279), '  ', text, chr(160)) AS raw, replace(concat('  ', text, chr(160)), chr(65279), '') AS line FROM documents)")
 def _(spark, sf):
     raw = F.concat(F.lit("\ufeff  "), "text", F.lit("\u00a0"))

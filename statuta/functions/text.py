@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -25,26 +26,44 @@ def _fold(ch: str) -> str:
     return "".join(c for c in decomposed if not unicodedata.combining(c))
 
 
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Characters that fold to one character, and those that fold to several."""
-    single_from, single_to, several = [], [], {}
-    blocks = (range(0xA0, 0x250), range(0x370, 0x500), range(0x1E00, 0x2000),
-              range(0x2000, 0x2190), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
-    for code in (c for block in blocks for c in block):
+def _fold_tables() -> tuple[str, str, str, list[int], list[str]]:
+    """Folds of all code points beyond ASCII, in three forms.
+
+    Characters that fold to one character, with those that fold to nothing behind them; and for those that fold to
+    several a table in two levels: the place of each block of 256 code points (-1: none fold), and the folds.
+    """
+    single_from, single_to, gone, several = [], [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
         ch = chr(code)
+        if ch.isascii() or unicodedata.category(ch) in ("Cn", "Co"):
+            continue
         folded = _fold(ch)
-        # Upper-case letters are lowered before the table is applied.
-        if not folded or folded == ch or ch.lower() != ch:
+        # Upper-case letters are lowered before the tables are applied.
+        if folded == ch or ch.lower() != ch:
             continue
-        if len(folded) == 1:
+        if not folded:
+            gone.append(ch)
+        elif len(folded) == 1:
             single_from.append(ch)
             single_to.append(folded)
-        elif code < 0x180 or 0xFB00 <= code or code == 0x2026:
-            several[ch] = folded
-    return "".join(single_from), "".join(single_to), several
-
-
-FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_tables()
+        else:
+            several[code] = folded
+    blocks = sorted({code >> 8 for code in several})
+    places = [blocks.index(b) * 256 if b in set(blocks) else -1 for b in range((sys.maxunicode >> 8) + 1)]
+    folds = [several.get((b << 8) + k, chr((b << 8) + k)) for b in blocks for k in range(256)]
+    ranges: list[list[int]] = []
+    for code in sorted(several):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    pattern = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+    return "".join(single_from + gone), "".join(single_to), pattern, places, folds
+
+
+@functools.cache
+def _tables() -> tuple[str, str, str, list[int], list[str]]:
+    return _fold_tables()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,17 +114,30 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
 
-def canon(c: Column) -> Column:
-    """Trimmed, case-folded text with Turkish and accented letters in ASCII form."""
-    several = "[" + "".join(FOLD_SEVERAL) + "]"
+# A character for private use: no fold has it.
+_BREAK = "\ue000"
 
-    def expand(t: Column) -> Column:
-        return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])),
-                      FOLD_SEVERAL.items(), t)
+
+def _looked_up(t: Column, places: list[int], folds: list[str]) -> Column:
+    """Each character by its block and its place in the block; the tables travel as two strings that Spark splits once."""
+    place = F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")
+    table = F.split(F.lit(_BREAK.join(folds)), _BREAK)
+
+    def one(ch: Column) -> Column:
+        code = F.ascii(ch)
+        at = F.get(place, F.shiftright(code, 8))
+        return F.when(at < 0, ch).otherwise(F.get(table, at + code.bitwiseAND(F.lit(255))))
+
+    return F.array_join(F.transform(F.split(t, ""), one), "")
+
+
+def canon(c: Column) -> Column:
+    """Trimmed, case-folded text with all letters in their compatible form without combining marks."""
+    single_from, single_to, several, places, folds = _tables()
 
     def fold(t: Column) -> Column:
-        folded = F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), r"\p{Mn}+", "")
-        return let(folded, lambda f: F.when(f.rlike(several), expand(f)).otherwise(f))
+        folded = F.translate(t, single_from, single_to)
+        return let(folded, lambda f: F.when(~is_ascii(f) & f.rlike(several), _looked_up(f, places, folds)).otherwise(f))
 
     lowered = F.lower(strip(F.coalesce(c, F.lit(""))))
     return let(lowered, lambda t: F.when(is_ascii(t), t).otherwise(fold(t)))
