@@ -200,7 +200,7 @@ def give_back() -> None:
 
 
 class WordTable:
-    """Token ids of distinct pieces, kept for the life of a Python worker within KEPT_BYTES.
+    """Token ids of distinct pieces, kept for the life of a Python worker within ``kept`` bytes.
 
     ``encode`` gets the new pieces of a slab at once and returns their ids as (counts, flat ids); ``forget``
     empties what its owner keeps for each piece.  Of all tables of a worker only the one in use holds pieces.
@@ -209,8 +209,8 @@ class WordTable:
     in_use: WordTable | None = None
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fixed: dict[str, int],
-                 forget: Callable[[], None] | None = None):
-        self._encode, self._fixed, self._forget = encode, fixed, forget
+                 forget: Callable[[], None] | None = None, kept: int = KEPT_BYTES):
+        self._encode, self._fixed, self._forget, self._kept = encode, fixed, forget, kept
         self._clear()
 
     def _clear(self) -> None:
@@ -230,7 +230,7 @@ class WordTable:
             if WordTable.in_use is not None:
                 WordTable.in_use._clear()
             WordTable.in_use = self
-        if self.size + self.ids.nbytes > KEPT_BYTES:
+        if self.size + self.ids.nbytes > self._kept:
             self._clear()
         give_back()
 

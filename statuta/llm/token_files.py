@@ -29,6 +29,8 @@ BLOCK = LANES * STEPS
 _LOW = np.uint64(1 << 31)
 #: Code points of the texts in one row of the files.
 ROW_CHARS = 8 << 20
+#: Memory of the pieces that a worker keeps: more than elsewhere, since the library is dear and nothing else is kept.
+KEPT_BYTES = 140 << 20
 FILE_SCHEMA = "part int, slab int, keys binary, lengths binary, n_ids long, symbols binary, freqs binary, blocks array<binary>"
 
 
@@ -174,7 +176,7 @@ def _library(path: str) -> tuple:
             counts = np.fromiter(map(len, rows), np.int64, len(rows))
             return counts, np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(counts.sum()))
 
-        _TABLES[path] = (P.WordTable(encode, special), re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None)
+        _TABLES[path] = (P.WordTable(encode, special, kept=KEPT_BYTES), re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None)
     return _TABLES[path]
 
 
