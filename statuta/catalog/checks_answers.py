@@ -391,6 +391,51 @@ def _(spark, sf):
     return out.select("q_id", "route", "kind", _big("rank"), "id", F.round("similarity", 6).alias("similarity"))
 
 
+# Every fourth query of a kind; mixed ones ask for a product name, and every second of them has no vector.
+_SEARCH = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), nv AS (SELECT count(*) AS n FROM embeddings),
+rt AS (SELECT vec_id AS q_id, (['generic','case_number','decision_only','mixed'])[vec_id % 4 + 1] AS route, vec_id % 8 <> 7 AS has FROM embeddings),
+sm AS (SELECT a.vec_id AS q_id, b.vec_id AS own, list_cosine_similarity(a.e, b.e) AS sim FROM v a, v b)"""
+
+
+def _search_inputs(spark, sf):
+    q, v = _vectors(spark, sf)
+    n = v.count()
+    own = v.select(F.col("v_id").alias("own"), "vector")
+    forms = F.array(F.lit("Yargıtay karar ara"), F.concat(F.lit("2005/"), F.col("q_id").cast("string"), F.lit(" E.")), F.lit("TBK 49 hakkında karar"), F.coalesce("p_name", F.lit("kira")))
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("q_id"), "p_name")
+    asked = q.select("q_id").join(names, "q_id", "left").select("q_id", F.get(forms, (F.col("q_id") % 4).cast("int")).alias("question"))
+    vectors = q.select("q_id", F.when(F.col("q_id") % 8 != 7, F.col("vector")).alias("vector"))
+    decisions, articles = _decisions(spark, sf), derived(spark, sf, "statutes")
+    of = lambda rows: rows.select(F.col("id").alias("v_id"), (F.col("id") % n).alias("own")).join(own, "own").drop("own")
+    chunks = of(articles).withColumns({"article_id": F.col("v_id"), "chunk_index": F.lit(0), "chunk_text": F.lit("")})
+    return asked, vectors, decisions, of(decisions), articles, chunks
+
+
+@register("p21_whole_search", cte("statutes") + ", " + _SEARCH.removeprefix("WITH ") + """,
+ds AS (SELECT q_id, o_orderkey AS id, sim, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 12) DESC, o_orderkey) AS rank
+  FROM (SELECT o_orderkey, o_orderkey % n AS own FROM orders, nv) JOIN sm USING (own) JOIN rt USING (q_id) WHERE has AND route IN ('decision_only', 'mixed') QUALIFY rank <= 8),
+ar AS (SELECT q_id, id, sim, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 12) DESC, id) AS rank
+  FROM (SELECT id, id % nv.n AS own FROM statutes, nv) JOIN sm USING (own) JOIN rt USING (q_id) WHERE has AND route = 'mixed' QUALIFY rank <= 8),
+cs AS (SELECT q_id, o_orderkey AS id, row_number() OVER (PARTITION BY q_id ORDER BY o_orderkey) AS rank FROM rt JOIN orders
+  ON contains(concat(CAST(1990 + o_custkey % 35 AS VARCHAR), '/', CAST(o_orderkey AS VARCHAR)), concat('2005/', CAST(q_id AS VARCHAR)))
+  OR contains(concat('bkz. 2001/', CAST(o_custkey AS VARCHAR), ' sayılı karar'), concat('2005/', CAST(q_id AS VARCHAR))) WHERE route = 'case_number' QUALIFY rank <= 8),
+kw AS (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY law_no, article_type, article_no, id) AS rank FROM rt LEFT JOIN part ON part.p_partkey = q_id
+  JOIN statutes ON contains(lower(text), lower(coalesce(part.p_name, 'kira'))) WHERE route = 'mixed' AND NOT has QUALIFY rank <= 8)
+SELECT q_id, 'decision' AS kind, CAST(1 AS INTEGER) AS part, CAST(rank AS BIGINT) AS rank, id, round(sim, 6) AS similarity FROM ds
+UNION ALL SELECT q_id, 'article', 2, rank, id, round(sim, 6) FROM ar UNION ALL SELECT q_id, 'decision', 1, rank, id, NULL FROM cs UNION ALL SELECT q_id, 'article', 3, rank, id, NULL FROM kw""")
+def _(spark, sf):
+    """All parts of the decision search: whole decision texts, keywords for queries without vectors only."""
+    found = R.search_decisions(*_search_inputs(spark, sf))
+    return found.select("q_id", "kind", "part", _big("rank"), "id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("p21_search_messages", _SEARCH + f""" SELECT q_id, route, route = 'mixed' AND NOT has AS fallback, CASE WHEN route = 'mixed' AND NOT has THEN '{V.SEARCH_FALLBACK}'
+  WHEN route = 'generic' THEN '{V.SEARCH_MESSAGES["generic"]}' WHEN route = 'decision_only' THEN '{V.SEARCH_MESSAGES["decision_only"]}' END AS message FROM rt""")
+def _(spark, sf):
+    asked, vectors, *_rest = _search_inputs(spark, sf)
+    return R.search_messages(asked, vectors)
+
+
 @register("p23_validated_answers", _AUDIT + f""" SELECT q_id, reason = 'ok' AS valid, reason, CASE WHEN reason = 'empty_answer' THEN 'yedek'
  WHEN reason = 'ok' THEN concat(trim(CASE k WHEN 0 THEN concat('TBK m. ', f, ' uyarınca zarar giderilir.') WHEN 2 THEN concat('6098 sayılı Kanun Madde ', f, ' ve Yargıtay uygulaması.')
    WHEN 5 THEN concat('Türk Borçlar Kanunu md.', f, ' açıktır.') ELSE concat('Borçlar Kanunu ', f) END), {_NOTE})

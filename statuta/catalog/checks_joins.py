@@ -11,6 +11,7 @@ from ..functions.text import content_hash
 from ..operators import candidates as C
 from ..operators import corpus, keywords, lookup, parsing, vector_index
 from ..plans import retrieval
+from ..plans.accuracy import golden_accuracy
 from ..session import cut_lineage, shared_folder
 from ..sources import corpus_store
 from ..sources.readers import read_by_law
@@ -479,6 +480,29 @@ def _(spark, sf):
         "rank_score", "matched_text", "extraction_status", "preview")
 
 
+@register("a07_accuracy_of_the_job", _P22.rpartition("\nSELECT q_id, resolved AS")[0] + """,
+w AS (SELECT q_id, list(concat_ws('|', s.law_no, s.article_type, s.article_no) ORDER BY pos) AS want FROM explicit e JOIN st s ON s.id = e.id GROUP BY q_id),
+g AS (SELECT q_id, list(concat_ws('|', law_no, article_type, article_no) ORDER BY rank) AS got FROM fin GROUP BY q_id),
+o AS (SELECT rq.q_id, want, coalesce(got, []) AS got FROM rq LEFT JOIN w ON w.q_id = rq.q_id LEFT JOIN g ON g.q_id = rq.q_id)
+SELECT count(*) AS cases, count(*) AS resolved_passed, count(*) AS resolved_total, count(*) AS intent_passed, count(*) AS intent_total,
+  count(CASE WHEN want[1] = got[1] THEN 1 END) AS top1_passed, count(want) AS top1_total,
+  count(CASE WHEN want IS NOT NULL AND list_has_all(got, want) THEN 1 END) AS coverage_passed, count(want) AS coverage_total,
+  count(CASE WHEN got[1:len(want)] = want THEN 1 END) AS prefix_passed, count(want) AS prefix_total FROM o""")
+def _(spark, sf):
+    """Golden questions, what they mean and the articles they name, through the whole retrieval."""
+    articles = cut_lineage(corpus.with_structure(derived(spark, sf, "statutes")))
+    links = cut_lineage(C.article_links(articles, corpus.citation_edges(articles)))
+    number = F.col("n").cast("string")
+    meant = F.when(F.col("form") == 5, F.concat("alias", F.lit(" "), number, F.lit(" 2. fıkra"))).when(
+        F.col("form") == 4, F.concat("alias", F.lit(" m. "), number, F.lit(" ve devamı"))).otherwise(F.col("question"))
+    named = derived(spark, sf, "asked_refs").join(derived(spark, sf, "statutes").select(*corpus.ARTICLE_KEY), corpus.ARTICLE_KEY)
+    wanted = named.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("|", *corpus.ARTICLE_KEY).alias("doc")))),
+                                                   lambda x: x["doc"]).alias("top_docs"))
+    cases = derived(spark, sf, "questions").select(F.col("q_id").alias("case_id"), "question", meant.alias("resolved_question"),
+                                                   (F.col("form") == 9).alias("decision_intent")).join(wanted.withColumnRenamed("q_id", "case_id"), "case_id", "left")
+    return golden_accuracy(cases, links, articles)
+
+
 # --- incremental loading ------------------------------------------------------------
 
 def _change_inputs(spark, sf):

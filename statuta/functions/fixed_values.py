@@ -499,3 +499,10 @@ TITLE_LIMITS = {"chars": 120, "digits": 6, "words": 12, "closing": (".", ";", ":
 INLINE_HEADER = r"(?U)(?<!\n)(?<!Ek )(?<!Geçici )(?=\b(?:(?:Ek|Geçici)\s+)?Madde\s+\d)"
 LINE_HEADER = r"(?iU)^(?:(?:ek|geçici)\s+)?madde\s+\d+"
 SENTENCE_TAIL = r"^(.*[.!?])\s+([A-ZÇĞİÖŞÜ][^.]*)$"
+# What a decision search says with its results, by route, and where it fell back to keywords.
+SEARCH_MESSAGES = {
+    "generic": "Karar araması yapabilmem için lütfen daha somut bir konu, kanun maddesi veya esas/karar numarası belirtin.",
+    "decision_only": "Karar/içtihat odaklı arama yapıldı. Bu endpointte mevzuat sonuçları karara alternatif olarak gösterilmez.",
+}
+SEARCH_FALLBACK = "Arama servisi şu anda yoğun. Geçici olarak metin eşleşmesine göre sonuçlar gösteriliyor."
+SEARCH_COUNT = 8
