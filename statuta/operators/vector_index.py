@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lookup import BLOCK_BYTES, block_top_k, unit, vector_top_k
-from .ordered import explode_rows, top_per_key
+from .lookup import BLOCK_BYTES, best_found, block_top_k, unit, vector_top_k
+from .ordered import explode_rows
 
 #: Vectors that the cells are trained on: those with the least hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -119,7 +119,7 @@ def approximate_top_k(queries: DataFrame, index: VectorIndex, k: int, probes: in
     both = held.select(place, F.lit(False).alias("is_query"), "id", "vector").unionByName(asked.select(place, F.lit(True).alias("is_query"), "id", "vector"))
     dealt = both.repartition("block").sortWithinPartitions("block", "is_query")
     partial = dealt.mapInPandas(block_top_k(k), "q_id bigint, v_id bigint, similarity double")
-    return top_per_key(partial, ["q_id"], [F.desc("similarity"), F.asc("v_id")], k)
+    return best_found(partial, k)
 
 
 def calibrated_probes(index: VectorIndex, queries: DataFrame, k: int, target: float = 0.95, sample_rows: int = 512) -> int:
