@@ -384,7 +384,9 @@ def _(spark, sf):
     q, v = _vectors(spark, sf)
     forms = F.array(F.lit("Yargıtay karar ara"), F.concat(F.lit("2005/"), F.col("q_id").cast("string"), F.lit(" E.")), F.lit("TBK 49 hakkında karar"), F.lit("kira artışı"))
     asked = q.select("q_id", F.get(forms, (F.col("q_id") % 4).cast("int")).alias("question"))
-    hits = lookup.vector_top_k(q, v, 8).select("q_id", F.col("v_id").alias("id"), "rank", "similarity")
+    # routes without vectors take no part in the vector search; two kinds of rows come from its one result
+    near = q.join(asked.where(P.search_route(F.col("question")).isin("decision_only", "mixed")).select("q_id").distinct(), "q_id", "left_semi")
+    hits = cut_lineage(lookup.vector_top_k(near, v, 8).select("q_id", F.col("v_id").alias("id"), "rank", "similarity"))
     decisions = _decisions(spark, sf).withColumn("text", F.lit(""))
     cases = lookup.case_number_search(asked, decisions, 8).select("q_id", "id", "rank", F.lit(None).cast("double").alias("similarity"))
     out = R.decision_search(asked, cases, hits, hits)
