@@ -267,7 +267,8 @@ _PRIO = """CASE retrieval_source WHEN 'direct_article_lookup' THEN 100 WHEN 'dir
 
 def _cands(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
-    df = derived(spark, sf, "cands")
+    # candidates of a question lie together; parts of a fixed number are not put together again, so that no task sorts many
+    df = derived(spark, sf, "cands").repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "q_id")
     return df.withColumn("similarity", F.when(F.col("line") < 4, F.col("sim"))).drop("sim")
 
 

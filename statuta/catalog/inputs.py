@@ -101,12 +101,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt out to the cores where they come in fewer files than there are cores.
+    """Rows of a table dealt out to the tasks where they come in fewer files than there are cores.
 
-    The given tables are single files of one row group, which one task would read and work on alone.
+    The given tables are single files of one row group, which one task would read and work on alone.  There are as
+    many parts as a shuffle has, so that parts do not grow with the table alone.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts) if len(rows.inputFiles()) < cores else rows
 
 
 def _spark_form(sql: str) -> str:
@@ -116,16 +119,15 @@ def _spark_form(sql: str) -> str:
 
 
 def derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A derived input as a DataFrame."""
+    """A derived input as a DataFrame; the tables are dealt out, what is joined or grouped from them stays as it is."""
     sql, needs = VIEWS[name]
     ctes = _spark_form(", ".join(f"{n} AS ({VIEWS[n][0]})" for n in needs))
     sql = _spark_form(sql)
     for base in ("part", "orders", "documents"):
         sql_all = ctes + sql
         if f"FROM {base}" in sql_all:
-            table(spark, sf, base).createOrReplaceTempView(base)
-    rows = spark.sql((f"WITH {ctes} " if ctes else "") + sql)
-    return spread(rows)
+            spread(table(spark, sf, base)).createOrReplaceTempView(base)
+    return spark.sql((f"WITH {ctes} " if ctes else "") + sql)
 
 
 def cte(*names: str) -> str:
