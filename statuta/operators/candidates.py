@@ -56,6 +56,19 @@ def _strength(df: DataFrame) -> DataFrame:
             .withColumn("_sim", F.coalesce("similarity", F.lit(0.0))))
 
 
+#: Questions whose candidates one task sorts and carries, with the lists of what they cite.
+QUESTIONS_PER_TASK = 10_000
+
+
+def by_question(df: DataFrame, questions: int) -> DataFrame:
+    """Candidates dealt out by question, in parts that do not grow with the number of questions.
+
+    All windows of merging, expansion and ranking run in these parts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-questions // QUESTIONS_PER_TASK)), "q_id")
+
+
 def union_candidates(*parts: DataFrame) -> DataFrame:
     """Lists one behind the other: order within a list kept, later lists come later."""
     out = None

@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions.questions import is_case_number_query, is_generic_decision_query, wants_decisions
 from ..functions.refs import extract_requested, extraction_status, resolve_context
 from ..functions.text import preview
-from ..operators.candidates import (article_links, expand_cited, expand_previous, merge_candidates,
+from ..operators.candidates import (article_links, by_question, expand_cited, expand_previous, merge_candidates,
                                     rank_candidates, union_candidates)
 from ..operators.history import clean_history
 from ..operators.keywords import keyword_search
@@ -73,7 +73,7 @@ def explicit_candidates(resolved: DataFrame, links: DataFrame) -> DataFrame:
         located(asked, regulations, REGULATION_LOOKUP_KEY),
         retrieval_source=F.lit("direct_yonetmelik_lookup"),
         similarity=null_sim)
-    return merge_candidates(union_candidates(direct, from_regulation), V.EXPLICIT_LIMIT, "id")
+    return merge_candidates(by_question(union_candidates(direct, from_regulation), resolved.count()), V.EXPLICIT_LIMIT, "id")
 
 
 def semantic_candidates(resolved: DataFrame, explicit: DataFrame, links: DataFrame, vectors: DataFrame,
@@ -119,7 +119,7 @@ def retrieve_resolved(resolved: DataFrame, links: DataFrame, articles: DataFrame
         hits = keyword_search(open_text, bodies, V.KEYWORD_COUNT, order, counts=key_counts)
         parts.append(_slim(hits.select("q_id", "id", "ord", "retrieval_source").join(links, "id"),
                            similarity=F.lit(None).cast("double")))
-    merged = merge_candidates(union_candidates(*parts), V.MERGED_LIMIT, "id")
+    merged = merge_candidates(by_question(union_candidates(*parts), resolved.count()), V.MERGED_LIMIT, "id")
     merged = merge_candidates(expand_previous(merged), V.PREVIOUS_LIMIT, "id")
     merged = merge_candidates(expand_cited(merged), V.FINAL_LIMIT, "id").drop("cited")
     context = resolved.select("q_id", "resolved", "decision_intent", "ask", "context", "refs")
