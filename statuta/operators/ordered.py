@@ -18,11 +18,14 @@ def _block(position: str, size: int) -> Column:
 
 
 def _with_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the columns of their block's summary; null keys and positions meet null ones."""
+    """Rows with the columns of their block's summary; null keys and positions meet null ones.
+
+    Many small groups make as many summary rows as rows: they are merged, never collected for a broadcast.
+    """
     names = [*keys, "_block"]
     right = summary.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(names)], *[c for c in summary.columns if c not in names])
     same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(names)]
-    return rows.join(right, same).drop(*[f"_s{i}" for i in range(len(names))])
+    return rows.join(right.hint("merge"), same).drop(*[f"_s{i}" for i in range(len(names))])
 
 
 def running_count(df: DataFrame, keys: list[str], position: str, flag: Column, out: str,
