@@ -9,7 +9,7 @@ from ..functions.text import canon
 from ..operators import corpus
 from ..operators.ordered import explode_rows
 from ..operators import parsing
-from .inputs import cte, derived, table
+from .inputs import cte, derived, spread, table
 
 Q: dict = {}
 
@@ -304,7 +304,8 @@ def _(spark, sf):
     body = (F.when(form == 0, F.concat(law, F.lit(" sayılı Kanunun "), no, F.lit(" inci maddesi uyarınca")))
             .when(form == 1, F.concat(F.lit("Türk Medeni Kanununun "), no, F.lit(" üncü maddesine göre")))
             .otherwise(F.concat(no, F.lit(", "), up, F.lit(" nci maddeleri"))))
-    li = explode_rows(table(spark, sf, "lineitem"), refs.cited_articles(body, F.lit("own")), "ord", "e")
+    rows = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    li = explode_rows(rows, refs.cited_articles(body, F.lit("own")), "ord", "e")
     return li.groupBy("l_orderkey", "l_linenumber", F.col("e.law_no").alias("target_law_no"), F.col("e.article_no").alias("target_article_no"),
                       F.col("e.ref_type").alias("ref_type")).agg(F.count("*").alias("edges"))
 
