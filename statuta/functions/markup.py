@@ -65,26 +65,27 @@ def spans(parts: Column, tag: str, classes: list[str] | None = None) -> Column:
         return F.lit(True) if classes is None else own.rlike(either)
 
     # 0: no tag of this name, 1: opens another block, 2: opens a wanted one, -1: closes one
-    codes = F.transform(parts, lambda t: F.when(t.rlike(closing), -1).when(
-        t.rlike(opening) & ~t.rlike(r"/\s*>$"), F.when(wanted(t), 2).otherwise(1)).otherwise(0))
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.array().cast("array<struct<depth:int,first:int>>").alias("open"),
+    codes = F.transform(parts, lambda t, i: F.struct((i + 1).alias("at"), F.when(t.rlike(closing), -1).when(
+        t.rlike(opening) & ~t.rlike(r"/\s*>$"), F.when(wanted(t), 2).otherwise(1)).otherwise(0).alias("code")))
+    begin = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<depth:int,first:int>>").alias("open"),
                      F.array().cast(_SPANS).alias("done"))
 
-    def step(s: Column, code: Column) -> Column:
-        at, depth = s["at"] + 1, s["depth"]
+    def step(s: Column, tag: Column) -> Column:
+        at, code, depth = tag["at"], tag["code"], s["depth"]
         top = F.get(s["open"], F.size(s["open"]) - 1)
         ends = (code == -1) & (F.size(s["open"]) > 0) & F.coalesce(top["depth"] == depth, F.lit(False))
         return F.struct(
-            at.alias("at"), F.when(code > 0, depth + 1).when((code == -1) & (depth > 0), depth - 1).otherwise(depth).alias("depth"),
+            F.when(code > 0, depth + 1).when((code == -1) & (depth > 0), depth - 1).otherwise(depth).alias("depth"),
             F.when(code == 2, F.concat(s["open"], F.array(F.struct((depth + 1).alias("depth"), at.alias("first"))))).when(
                 ends, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"]).alias("open"),
             F.when(ends, F.concat(s["done"], F.array(F.struct(top["first"].alias("first"), at.alias("last"))))).otherwise(s["done"]).alias("done"))
 
     def finish(s: Column) -> Column:
-        left = F.transform(s["open"], lambda o: F.struct(o["first"].alias("first"), s["at"].alias("last")))
+        left = F.transform(s["open"], lambda o: F.struct(o["first"].alias("first"), F.size(parts).alias("last")))
         return F.array_sort(F.concat(s["done"], left))
 
-    return F.aggregate(codes, begin, step, finish)
+    # only tags of this name are gone through
+    return F.aggregate(F.filter(codes, lambda c: c["code"] != 0), begin, step, finish)
 
 
 def cut(parts: Column, span: Column) -> Column:

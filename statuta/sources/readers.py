@@ -110,13 +110,15 @@ def listed_decisions(pages: DataFrame, base_url: str = "", page: dict = V.DECISI
     blocks = markup.spans(F.col("parts"), "div", [page["item_class"]])
     items = explode_rows(parts, blocks, "nth", "block").select("page_id", "nth", markup.cut(F.col("parts"), F.col("block")).alias("item"))
 
-    def link(item: Column) -> Column:
+    def links(item: Column) -> Column:
         hrefs = F.transform(F.filter(item, lambda t: t.rlike(r"(?is)^<a(?=[\s/>])")), lambda t: markup.attribute(t, "href"))
-        return F.get(F.filter(hrefs, lambda h: F.contains(h, F.lit(page["link_contains"])) & ~F.contains(h, F.lit(page["link_excludes"]))), F.lit(0))
+        return F.filter(hrefs, lambda h: F.contains(h, F.lit(page["link_contains"])) & ~F.contains(h, F.lit(page["link_excludes"])))
 
     div = lambda c: markup.first_text(F.col("item"), "div", [page[c]])
-    rows = items.select(
-        "page_id", "nth", link(F.col("item")).alias("href"), markup.first_text(F.col("item"), page["title_tag"]).alias("title"),
+    # as rows, so that a test of the link does not find it a second time; items without one are not read further
+    linked = explode_rows(items, F.slice(links(F.col("item")), 1, 1), "_n", "href")
+    rows = linked.select(
+        "page_id", "nth", "href", markup.first_text(F.col("item"), page["title_tag"]).alias("title"),
         decision_info(div("info_class")).alias("info"), F.substring(div("subject_class"), 1, page["subject_length"]).alias("subject"))
     full = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base_url), F.col("href")))
     return first_links(rows.where(F.col("href") != "").withColumn("url", full).drop("href"))
