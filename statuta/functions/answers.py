@@ -18,10 +18,13 @@ def _lines(*parts: Column | str) -> Column:
 
 
 def with_disclaimer(answer: Column) -> Column:
-    """Append the standard notice unless its canonical form is already there."""
+    """Append the standard notice unless its canonical form is already there.
+
+    A text that has the notice itself need not be folded to see that.
+    """
     plain = _fixed_canon(V.DISCLAIMER)
     return let(strip(F.coalesce(answer, F.lit(""))), lambda a: (
-        F.when(a == "", V.DISCLAIMER).when(canon(a).contains(plain), a)
+        F.when(a == "", V.DISCLAIMER).when(a.contains(V.DISCLAIMER) | canon(a).contains(plain), a)
         .otherwise(_lines(a, "\n\n" + V.DISCLAIMER))))
 
 

@@ -39,6 +39,25 @@ def per_distinct(df: DataFrame, column: str, parse: Callable[[DataFrame], DataFr
     return df.join(right, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
+def asked_alike(questions: DataFrame) -> DataFrame:
+    """(q_id, asked): what each question id asks, as its texts with the times it has each.
+
+    Without history and vectors a result follows from ``asked`` alone.  Rows without an id are no one question: they
+    are told apart by their text.
+    """
+    each = questions.select("q_id", "question").repartition("q_id").groupBy("q_id", "question").agg(F.count(F.lit(1)).alias("times"))
+    texts = F.sort_array(F.collect_list(F.struct("question", "times")))
+    own = each.groupBy("q_id", F.when(F.col("q_id").isNull(), F.struct("question")).alias("_alone")).agg(texts.alias("texts"))
+    return own.select("q_id", F.struct(F.col("q_id").isNotNull().alias("known"), "texts").alias("asked"))
+
+
+def one_of_each(alike: DataFrame) -> DataFrame:
+    """(q_id, question, asked): all rows of one question id of those that ask the same."""
+    first = alike.groupBy("asked").agg(F.min("q_id").alias("q_id"))
+    rows = first.select("q_id", "asked", F.explode("asked.texts").alias("_t"))
+    return rows.select("q_id", "_t.question", "asked", F.explode(F.array_repeat(F.lit(0), F.col("_t.times").cast("int"))).alias("_n")).drop("_n")
+
+
 def with_normalised(df: DataFrame, question: str, out: str = "normalised") -> DataFrame:
     return per_distinct(df, question, lambda d: d.withColumn(out, normalised(question)))
 
