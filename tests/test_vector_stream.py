@@ -81,3 +81,20 @@ def test_vectors_of_different_lengths_are_refused(spark):
     with pytest.raises(Exception, match="different lengths"):
         lookup.vector_top_k(rows.withColumnRenamed("id", "q_id"), rows.withColumnRenamed("id", "v_id"), 1).collect()
 
+
+def test_keys_of_decisions_pass_a_filter_before_they_are_shuffled(spark):
+    held = [(i, f"{1990 + i % 35}/{i}", f"K {i}", f"bkz. 2001/{i * 7} ve 2005/{i}5/9") for i in range(400)]
+    decisions = spark.createDataFrame(held, "id long, case_no string, decision_no string, text string")
+    asked = [(i, f"2001/{i} E. ve 20{i % 20:02d}/{i % 7} K.") for i in range(60)] + [(99, "hiç")]
+    found = lookup.case_number_search(spark.createDataFrame(asked, "q_id long, question string"), decisions, 3)
+    assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.q_id, r["rank"])):
+        got.setdefault(r.q_id, []).append(r.id)
+    want = {}
+    for q_id, _question in asked[:-1]:
+        numbers = [f"2001/{q_id}", f"20{q_id % 20:02d}/{q_id % 7}"]
+        hits = sorted((min(n for n, x in enumerate(numbers) if any(x in c for c in row[1:])), row[0]) for row in held if any(x in c for x in numbers for c in row[1:]))
+        if hits:
+            want[q_id] = [i for _n, i in hits[:3]]
+    assert got == want
