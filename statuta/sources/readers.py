@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import fixed_values as V
-from ..functions import markup
+from ..functions import listing, markup
 from ..functions.text import decision_info, let, literal_map
 from ..operators.ordered import explode_rows
 
@@ -104,22 +104,19 @@ def read_law(spark: SparkSession, path: str, law_no: str | None = None) -> DataF
 def listed_decisions(pages: DataFrame, base_url: str = "", page: dict = V.DECISION_PAGE) -> DataFrame:
     """One row per listed decision: link, title, info line, clipped subject; links once.
 
-    An item is a whole block with all blocks inside, and so are its info line and its subject.
+    An item is a whole block with all blocks inside, and so are its info line and its subject.  Items are read in
+    Python, page by page, as built-in functions would try each pattern on each token again.
     """
-    parts = pages.select("page_id", markup.tokens(markup.without(F.col("html"), page["drop_tags"])).alias("parts"))
-    blocks = markup.spans(F.col("parts"), "div", [page["item_class"]])
-    items = explode_rows(parts, blocks, "nth", "block").select("page_id", "nth", markup.cut(F.col("parts"), F.col("block")).alias("item"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    items = pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(listing.listed_items(page), f"page_id {kind}, {listing.ITEM}")
 
     def links(item: Column) -> Column:
         hrefs = F.transform(F.filter(item, lambda t: t.rlike(r"(?is)^<a(?=[\s/>])")), lambda t: markup.attribute(t, "href"))
         return F.filter(hrefs, lambda h: F.contains(h, F.lit(page["link_contains"])) & ~F.contains(h, F.lit(page["link_excludes"])))
 
-    div = lambda c: markup.first_text(F.col("item"), "div", [page[c]])
     # as rows, so that a test of the link does not find it a second time; items without one are not read further
-    linked = explode_rows(items, F.slice(links(F.col("item")), 1, 1), "_n", "href")
-    rows = linked.select(
-        "page_id", "nth", "href", markup.first_text(F.col("item"), page["title_tag"]).alias("title"),
-        decision_info(div("info_class")).alias("info"), F.substring(div("subject_class"), 1, page["subject_length"]).alias("subject"))
+    linked = explode_rows(items, F.slice(links(F.col("anchors")), 1, 1), "_n", "href")
+    rows = linked.select("page_id", "nth", "href", "title", decision_info(F.col("info")).alias("info"), "subject")
     full = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base_url), F.col("href")))
     return first_links(rows.where(F.col("href") != "").withColumn("url", full).drop("href"))
 
